@@ -1,24 +1,26 @@
 """Byte-level BPE by replaying the merges over a corpus of words.
 
 Each task holds the distinct words (matches of the splitting pattern) of its documents as linked tokens in
-flat arrays. An inverted index maps every mergeable pair, keyed by the rank of its product, to the places
-where it stands. Ranks leave a heap in order; each merge touches only its own places and their neighbours.
-Words don't influence each other, so a task's corpus gives what the whole corpus would. Words met before are
-kept in a table of bounded size; nothing is shuffled.
+flat arrays, with an index of the ranks of the pairs at every place. Merges are applied in rank order, to all
+words at once, and touch only their neighbours. Words don't influence each other, so a task's corpus gives
+what the whole corpus would. Words met before are kept in a table of bounded size; nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
-import heapq
 import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from framewright.llm.common import chunks, read
+
 #: White space as Unicode has it; Python's \\s has four control characters besides.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Letters and numbers below U+02C2, for which the faster module re gives the same matches.
@@ -42,14 +44,123 @@ def _patterns(pattern: str):
     return re.compile(fast), regex.compile(exact), re.compile("[^\\x00-\\u02c1]")
 
 
+class Merges:
+    """The rank of every pair of tokens that a merge can join, in hash tables over flat arrays."""
+
+    SLOTS = 1 << 22
+
+    def __init__(self, keys: np.ndarray, ranks: np.ndarray):
+        """keys: left id << 32 | right id; ranks: id of the product."""
+        self.tables = []
+        for shift in (29, 23, 17):
+            slot = self._slot(keys, shift)
+            at = np.full(self.SLOTS, -1, dtype=np.int32)
+            at[slot] = np.arange(len(keys), dtype=np.int32)
+            held = at[slot] == np.arange(len(keys))
+            self.tables.append((shift, at, keys, ranks))
+            keys, ranks = keys[~held], ranks[~held]
+        order = np.argsort(keys)
+        self.rest_keys, self.rest_ranks = keys[order], ranks[order]
+
+    @classmethod
+    def of(cls, ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Each way to cut a token into two tokens."""
+        found = [(a << 32 | b, r) for token, r in ranks.items() for i in range(1, len(token)) if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None]
+        return np.array([k for k, _ in found], dtype=np.uint64), np.array([r for _, r in found], dtype=np.int32)
+
+    def _slot(self, keys: np.ndarray, shift: int) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 22 - (29 - shift))).astype(np.int64) & (self.SLOTS - 1)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair's product; NONE if there is none."""
+        key = (left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64)
+        out = np.full(len(key), NONE, dtype=np.int32)
+        todo = np.arange(len(key))
+        for shift, at, keys, ranks in self.tables:
+            if not len(todo) or not len(keys):
+                return out
+            i = at[self._slot(key[todo], shift)]
+            there = i >= 0
+            same = there & (keys[i] == key[todo])
+            out[todo[same]] = ranks[i[same]]
+            todo = todo[there & ~same]
+        if len(todo) and len(self.rest_keys):
+            i = np.minimum(np.searchsorted(self.rest_keys, key[todo]), len(self.rest_keys) - 1)
+            same = self.rest_keys[i] == key[todo]
+            out[todo[same]] = self.rest_ranks[i[same]]
+        return out
+
+
+#: Above every rank.
+NONE = np.int32(2**31 - 1)
+
+
+def replay(words: list[bytes], merges: Merges, byte_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of all words, and where each word's begin, after every merge that applies.
+
+    All words lie in one flat array of tokens with links to both neighbours. The index holds, for each place,
+    the rank of the pair that begins there. Words don't touch each other, so a step applies the next merge in
+    rank order to every word at once: of each word's entries the lowest, and of equal ones the leftmost.
+    A merge renews only the entries of the joined token and of its left neighbour. Words without entries
+    leave.
+    """
+    size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    begin = np.concatenate([[0], np.cumsum(size)])
+    token = byte_ids[np.frombuffer(b"".join(words), dtype=np.uint8)].astype(np.int32)
+    n = len(token)
+    right = np.arange(1, n + 1)
+    left = np.arange(-1, n - 1)
+    right[begin[1:][size > 0] - 1] = -1
+    left[begin[:-1][size > 0]] = -1
+    index = np.full(n, NONE, dtype=np.int32)
+    inner = np.flatnonzero(right >= 0)
+    index[inner] = merges.rank(token[inner], token[inner + 1])
+    live = np.ones(n, dtype=bool)
+    # Entries of the words still at work, word by word: the places, and where each word's begin.
+    place = np.flatnonzero(index < NONE)
+    while len(place):
+        owner = np.searchsorted(begin, place, side="right") - 1
+        first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        key = (index[place].astype(np.int64) << 32) | place
+        at = np.minimum.reduceat(key, first) & 0xFFFFFFFF
+        gone = right[at]
+        token[at] = index[at]
+        live[gone] = False
+        index[gone] = NONE
+        after = right[gone]
+        right[at] = after
+        has = after >= 0
+        left[after[has]] = at[has]
+        index[at] = NONE
+        index[at[has]] = merges.rank(token[at[has]], token[after[has]])
+        before = left[at]
+        had = before >= 0
+        index[before[had]] = merges.rank(token[before[had]], token[at[had]])
+        # A merge can give its own token or the one before it an entry that was not there.
+        place = np.unique(np.concatenate([place, at, before[had]])) if len(at) < 50 else _joined(place, at, before[had], n)
+        place = place[index[place] < NONE]
+    total = np.concatenate([[0], np.cumsum(live)])
+    return token[live], total[begin]
+
+
+def _joined(place: np.ndarray, at: np.ndarray, before: np.ndarray, n: int) -> np.ndarray:
+    """The sorted union."""
+    mark = np.zeros(n, dtype=bool)
+    mark[place] = mark[at] = mark[before] = True
+    return np.flatnonzero(mark)
+
+
 class Encoder:
     """Encodes and decodes by a table of ranks."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, pairs: tuple[np.ndarray, np.ndarray] | None = None):
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
+        self.said = {i: str(i) for i in ranks.values()}
+        self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
+        self.merges = Merges(*(Merges.of(ranks) if pairs is None else pairs))
         self.fast, self.exact, self.beyond = _patterns(pattern)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, tuple[list[int], str]] = {}
 
     def split(self, text: str) -> list[str]:
         if self.beyond.search(text):
@@ -57,94 +168,38 @@ class Encoder:
         return [m.group() for m in self.fast.finditer(text)] if self.fast.groups else self.fast.findall(text)
 
     def learn(self, words) -> None:
-        """Adds the ids of words not seen before, all of them in one replay."""
-        if len(self.known) > WORDS_KEPT:
+        """Adds ids, and ids as text, of words not seen before, all of them in one replay."""
+        words = list(words)
+        if len(self.known) + len(words) > WORDS_KEPT:
             self.known.clear()
-        todo: list[tuple[str, bytes]] = []
-        for word in words:
-            raw = word.encode()
-            whole = self.ranks.get(raw)
-            if whole is None:
-                todo.append((word, raw))
-            else:
-                self.known[word] = (whole,)
+        known = self.known
+        raws = [word.encode() for word in words]
+        whole = list(map(self.ranks.get, raws))
+        known.update((word, ([r], self.said[r])) for word, r in zip(words, whole, strict=True) if r is not None)
+        todo = [word for word, r in zip(words, whole, strict=True) if r is None]
+        raws = [raw for raw, r in zip(raws, whole, strict=True) if r is None]
         if todo:
-            self.known.update(zip((w for w, _ in todo), replay([r for _, r in todo], self.ranks), strict=True))
+            ids, begin = replay(raws, self.merges, self.byte_ids)
+            ids, begin = ids.tolist(), begin.tolist()
+            said = list(map(self.said.__getitem__, ids))
+            known.update(zip(todo, [(ids[a:b], ",".join(said[a:b])) for a, b in zip(begin, begin[1:], strict=False)], strict=True))
 
-    def encode(self, texts: list[str]) -> list[list[tuple[int, ...]]]:
-        """Ids of each text, word by word."""
+    def words(self, texts: list[str]) -> list[list[tuple[list[int], str]]]:
+        """Ids of each text, word by word, as numbers and as text."""
         split = [self.split(t) for t in texts]
-        new = set().union(*split) if split else set()
-        self.learn(new if len(self.known) + len(new) > WORDS_KEPT else new.difference(self.known))
+        seen = set().union(*split)
+        new = seen.difference(self.known)
+        self.learn(seen if len(self.known) + len(new) > WORDS_KEPT else new)
         get = self.known.__getitem__
         return [list(map(get, words)) for words in split]
 
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [[i for ids, _ in words for i in ids] for words in self.words(texts)]
+
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[tuple[int, ...]]:
-    """Token ids of the words after every merge that applies, lowest rank first and from left to right.
-
-    All words lie in one flat list, one byte a token, with links to both neighbours; links don't cross words.
-    index: rank of a pair's product -> places of the pair's left token. A merge may create a pair of lower
-    rank than its own; its remaining places then wait until that pair has been merged.
-    """
-    token: list[bytes] = []
-    left: list[int] = []
-    right: list[int] = []
-    begin: list[int] = []
-    index: dict[int, list[int]] = {}
-    for word in words:
-        at, n = len(token), len(word)
-        begin.append(at)
-        token += [word[i : i + 1] for i in range(n)]
-        left += [at + i - 1 if i else -1 for i in range(n)]
-        right += [at + i + 1 if i + 1 < n else -1 for i in range(n)]
-        for i in range(n - 1):
-            if (r := ranks.get(word[i : i + 2])) is not None:
-                index.setdefault(r, []).append(at + i)
-    heap = list(index)
-    heapq.heapify(heap)
-    while heap:
-        rank = heapq.heappop(heap)
-        places = index.pop(rank, None)
-        if not places:
-            continue
-        places.sort()
-        for k, at in enumerate(places):
-            to = right[at]
-            if token[at] is None or to < 0 or ranks.get(token[at] + token[to]) != rank:
-                continue  # one of the two has gone into another token since
-            joined = token[at] + token[to]
-            token[at], token[to] = joined, None
-            after = right[at] = right[to]
-            if after >= 0:
-                left[after] = at
-            lower = False
-            for a, b in ((left[at], at), (at, after)):
-                if a >= 0 and b >= 0 and (r := ranks.get(token[a] + token[b])) is not None:
-                    if r not in index:
-                        index[r] = []
-                        heapq.heappush(heap, r)
-                    index[r].append(a)
-                    lower |= r < rank
-            if lower and k + 1 < len(places):
-                index.setdefault(rank, []).extend(places[k + 1 :])
-                heapq.heappush(heap, rank)
-                break
-    out = []
-    for at in begin:
-        ids = []
-        while at >= 0:
-            ids.append(ranks[token[at]])
-            at = right[at]
-        out.append(tuple(ids))
-    return out
-
-
-
-
 def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
     """df with ids_col, the token ids of text_col (array<int>; null and empty texts have none).
 
@@ -153,16 +208,14 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str =
     """
     spark = df.sparkSession
     df = df.drop(ids_col)
-    shared = spark.sparkContext.broadcast((ranks, pattern))  # a vocabulary, about 1 MB; its size doesn't depend on the data
+    shared = spark.sparkContext.broadcast((ranks, pattern, Merges.of(ranks)))  # a vocabulary, a few MB; its size doesn't depend on the data
     where = df.columns.index(text_col)
 
     def run(batches):
         encoder = Encoder(*shared.value)
-        from framewright.llm.common import chunks
-
         for batch in chunks(batches, text_col, 2_000_000):
             texts = [t or "" for t in batch.column(where).to_pylist()]
-            ids = [[i for word in words for i in word] for words in encoder.encode(texts)]
+            ids = encoder.encode(texts)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, type=pa.list_(pa.int32()))], names=[*batch.schema.names, ids_col])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
@@ -193,29 +246,20 @@ def digests(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     A row for each row of df, null and empty texts with 0 tokens; ids and bytes never leave their task.
     """
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast((ranks, pattern))
+    shared = spark.sparkContext.broadcast((ranks, pattern, Merges.of(ranks)))
 
     def run(batches):
         encoder = Encoder(*shared.value)
-        from framewright.llm.common import chunks
-
-        said: dict[tuple, str] = {}
+        gc.disable()  # the table of words has no cycles; walking it again and again would cost more than all else
         for batch in chunks(batches, text_col, 2_000_000):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
             n, ids_hash, bytes_hash = [], [], []
-            for words in encoder.encode(texts):
-                ids = [i for word in words for i in word]
-                if len(said) > WORDS_KEPT:
-                    said.clear()
-                parts = []
-                for word in words:
-                    if (s := said.get(word)) is None:
-                        s = said[word] = ",".join(map(str, word))
-                    parts.append(s)
+            for words in encoder.words([t or "" for t in batch.column(1).to_pylist()]):
+                ids = [i for own, _ in words for i in own]
                 n.append(len(ids))
-                ids_hash.append(hashlib.sha256(",".join(parts).encode()).hexdigest())
+                ids_hash.append(hashlib.sha256(",".join([said for _, said in words]).encode()).hexdigest())
                 bytes_hash.append(hashlib.sha256(encoder.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hash), pa.array(bytes_hash)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        gc.enable()
 
     return df.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}`").mapInArrow(run, DIGESTS)
 
@@ -223,6 +267,4 @@ def digests(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from framewright.llm.common import read
-
     return digests(read(spark, sf_dir, "documents"), load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
