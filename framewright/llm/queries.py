@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from framewright.llm import byte_bpe
+from framewright.llm import ann, byte_bpe, langid, toxicity, warc
 
 QUERIES = {
     "op3_byte_bpe": byte_bpe.op3_byte_bpe,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op8_warc": warc.op8_warc,
+    "op9_ann": ann.op9_ann,
+    "op10_langid": langid.op10_langid,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_warc": warc.OP8_SQL,
+}
