@@ -3,7 +3,7 @@
 Gaussian (2-stable) projections turn a vector into m numbers; the squared distance of two projections, over
 the squared distance of the vectors, has the chi-square distribution with m degrees of freedom. Each block of
 rows is indexed by a kd-tree over its projections. A query takes the block's rows in the order of projected
-distance, verifies each in the original space, and stops at projected distance r once a row as near as the
+distance, a leaf at a time, verifies them in the original space, and stops at projected distance r once a row as near as the
 k-th best so far (distance d) would with probability `sure` have come before: chi2_m(r^2 / d^2) >= sure.
 
 Queries are a stated set against all rows, in blocks: rows stay where they were read, query vectors go to
@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from framewright.llm.common import read, stage
 
 #: Projections; probability of the stopping test; rows of a block; rows of a leaf.
-PROJECTIONS, SURE, BLOCK_ROWS, LEAF_ROWS = 6, 0.99, 16_384, 32
+PROJECTIONS, SURE, BLOCK_ROWS, LEAF_ROWS = 8, 0.99, 16_384, 256
 #: Values of query vectors that are sent to the tasks at once (32 MB as doubles).
 QUERY_VALUES = 4_000_000
 FOUND = "query_id long, vec_id long, score double"
@@ -68,13 +68,16 @@ class Index:
         place = np.arange(len(by)) - begin[which[by]]
         kept = place <= k  # a query is one of them at most, so k others are enough
         self.member_ids, self.member_of = ids[by][kept], which[by][kept]
-        self.begin = np.append(np.searchsorted(self.member_of, np.arange(len(first))), len(self.member_of))
-        self.vectors = vectors[first]
-        self.points = self.vectors @ matrix
         self.k = k
+        self.points = vectors[first] @ matrix
         self.order = np.arange(len(first))
         self.nodes: list[tuple] = []  # (low, high corner, left, right) or (low, high corner, begin, -end)
         self._build(0, len(first), leaf)
+        # Rows lie in the order of the leaves, so a leaf is a slice.
+        self.begin = np.searchsorted(self.member_of, self.order)
+        self.count = np.searchsorted(self.member_of, self.order, side="right") - self.begin
+        self.vectors = vectors[first][self.order]
+        self.square = np.einsum("ij,ij->i", self.vectors, self.vectors)
 
     def _build(self, a: int, b: int, leaf: int) -> int:
         at = len(self.nodes)
@@ -94,53 +97,40 @@ class Index:
     def search(self, query_id: int, query: np.ndarray, projected: np.ndarray, quantile: float) -> tuple[np.ndarray, np.ndarray, int]:
         """Ids and distances of the k nearest found, and how many vectors were verified.
 
-        Best-first over boxes. Points whose projected distance is at most that of the next box are next in
-        the incremental order; they are verified together.
+        Best-first over boxes: leaves come in the order of their projected distance, and all that no leaf has
+        brought is at least as far as the next one. A leaf's rows are verified together, by the expanded
+        square where that rules them out, else by the sum of squared differences.
         """
-        heap, waiting_rows, waiting_far = [(0.0, 0)], [], []
+        heap = [(0.0, 0)]
         best_d, best_id = np.zeros(0), np.zeros(0, np.int64)
-        seen = 0
-        while heap or waiting_rows:
-            near = heap[0][0] if heap else math.inf
-            if waiting_rows:
-                rows, far = np.concatenate(waiting_rows), np.concatenate(waiting_far)
-                ready = far <= near
-                if ready.any():
-                    r = rows[ready]
-                    waiting_rows, waiting_far = ([rows[~ready]], [far[~ready]]) if not ready.all() else ([], [])
-                    seen += len(r)
-                    diff = self.vectors[r] - query
-                    dist = np.sqrt(np.einsum("ij,ij->i", diff, diff))
-                    if len(best_d) >= self.k:
-                        keep = dist <= best_d[-1]
-                        r, dist = r[keep], dist[keep]
-                    if len(r):
-                        n = self.begin[r + 1] - self.begin[r]
-                        at = np.repeat(self.begin[r] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                        ids, d = self.member_ids[at], np.repeat(dist, n)
-                        other = ids != query_id
-                        best_id, best_d = np.concatenate([best_id, ids[other]]), np.concatenate([best_d, d[other]])
-                        top = np.lexsort((best_id, best_d))[: self.k]
-                        best_id, best_d = best_id[top], best_d[top]
-            if len(best_d) >= self.k:
-                limit = best_d[-1] ** 2 * quantile
-                ahead = min(near, min((f.min() for f in waiting_far), default=math.inf))
-                if ahead > limit and ahead > 0:
-                    break
-            if not heap:
-                continue
-            _, at = heapq.heappop(heap)
-            low, high, a, b = self.nodes[at]
-            if b < 0:
-                rows = self.order[a:-b]
-                diff = self.points[rows] - projected
-                waiting_rows.append(rows)
-                waiting_far.append(np.einsum("ij,ij->i", diff, diff))
-            else:
+        own, seen = float(query @ query), 0
+        while heap:
+            near, at = heapq.heappop(heap)
+            if len(best_d) >= self.k and near > best_d[-1] ** 2 * quantile:
+                break
+            _, _, a, b = self.nodes[at]
+            if b >= 0:
                 for child in (a, b):
                     low, high = self.nodes[child][:2]
                     gap = np.maximum(0, np.maximum(low - projected, projected - high))
                     heapq.heappush(heap, (float(gap @ gap), child))
+                continue
+            rows = np.arange(a, -b)
+            seen += len(rows)
+            if len(best_d) >= self.k:
+                rough = self.square[a:-b] + own - 2 * (self.vectors[a:-b] @ query)
+                rows = rows[rough <= best_d[-1] ** 2 + 1e-9 * (own + self.square[a:-b])]
+                if not len(rows):
+                    continue
+            diff = self.vectors[rows] - query
+            dist = np.sqrt(np.sum(diff * diff, axis=1))
+            n = self.count[rows]
+            members = np.repeat(self.begin[rows] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            ids, d = self.member_ids[members], np.repeat(dist, n)
+            other = ids != query_id
+            best_id, best_d = np.concatenate([best_id, ids[other]]), np.concatenate([best_d, d[other]])
+            top = np.lexsort((best_id, best_d))[: self.k]
+            best_id, best_d = best_id[top], best_d[top]
         return best_id, best_d, seen
 
 

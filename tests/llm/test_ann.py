@@ -53,7 +53,7 @@ def test_stops_early():
     centres = rng.normal(size=(200, 32))
     data = np.repeat(centres, 20, axis=0) + 0.01 * rng.normal(size=(4000, 32))
     matrix = A.projections(32, 6)
-    index = A.Index(np.arange(4000), data, matrix, 10)
+    index = A.Index(np.arange(4000), data, matrix, 10, leaf=32)
     ids, dist, seen = index.search(0, data[0], data[0] @ matrix, A.chi2_quantile(0.99, 6))
     assert seen < 1500 and set(ids) <= set(range(20)) and list(dist) == sorted(dist)
 
