@@ -23,6 +23,8 @@ from framewright.llm.common import WORDED, Words, _BASE, _powers, binaries, chun
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 4
 #: Links of a node that share a copy of its shingles; salts for joins with groups of any size.
 PER_COPY, SALTS = 256, 16
+#: Leaders of a bucket in the rounds after the first.
+LEADERS = 8
 #: Ids that may be broadcast (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -212,35 +214,34 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     every = nodes.select("node", F.explode("bands").alias("bucket"))
     # A bucket counts if two nodes are in it; least and greatest node, kept for each bucket, say so.
     spread = every.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min_by("node", F.xxhash64("node")).alias("mid")).where("lo < hi")
-    members = stage(salted(every, "node").join(copies(spread), ["bucket", "_salt"]).select("bucket", "node", "lo", "hi", "mid"), "near-members")
-    leaders = F.explode(F.array_distinct(F.array("lo", "hi", "mid")))
-    pairs = members.select("node", leaders.alias("leader"))
-    tried, links, roots, seed = None, None, None, 0
-    sets = None
+    members = stage(salted(every, "node").join(copies(spread), ["bucket", "_salt"]).select("bucket", "node", "mid"), "near-members")
+    # The node of least hash leads: in most of the buckets that a group of near copies falls into, the same one.
+    pairs = members.select("node", F.col("mid").alias("leader"))
+    links, roots, sets, seed = None, None, None, 0
     while True:
         pairs = pairs.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
         # A pair may come with either node as leader; the one with the lesser hash stays leader.
         swap = F.xxhash64("a") > F.xxhash64("b")
         pairs = pairs.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stage(pairs, "near-pairs")
         if not pairs.limit(1).count():
             break
         if sets is None:
             sets = sets_of(docs, members.select("node").distinct(), text_col)
         found = stage(verify(pairs, sets, similarity), "near-found")
-        if links is not None and not found.limit(1).count():
+        if not found.limit(1).count():
             break
         links = found if links is None else links.unionByName(found)
-        tried = pairs if tried is None else tried.unionByName(pairs)
         roots = components(links)
-        seed += 1
-        # Next round: buckets with several components; their members against a leader of another component.
+        # Next round: in buckets with several components, all that is outside of the most frequent one is compared
+        # with LEADERS nodes of other components, which are drawn anew for each bucket and round.
         rooted = members.select("bucket", "node").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-        open_ = rooted.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(seed))).alias("one"), F.max_by(F.struct("node", "root"), F.xxhash64("node", F.lit(-seed))).alias("two")).where("r0 < r1").select("bucket", "one", "two")
-        again = salted(rooted, "node").join(copies(open_), ["bucket", "_salt"])
-        pairs = again.select("node", "root", F.explode(F.array("one", "two")).alias("lead")).where("root <> lead.root").select("node", F.col("lead.node").alias("leader"))
+        drawn = [F.min_by(F.struct("node", "root"), F.xxhash64("node", "bucket", F.lit(seed + i))).alias(f"l{i}") for i in range(LEADERS)]
+        open_ = rooted.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.mode("root").alias("most"), *drawn).where("r0 < r1")
+        open_ = open_.select("bucket", "most", F.array_distinct(F.array(*[f"l{i}" for i in range(LEADERS)])).alias("leads"))
+        again = salted(rooted, "node").join(copies(open_), ["bucket", "_salt"]).where("root <> most")
+        pairs = again.select("node", "root", F.explode("leads").alias("lead")).where("root <> lead.root").select("node", F.col("lead.node").alias("leader"))
+        seed += LEADERS
     group = nodes.drop("bands")
     group = group if roots is None else group.join(roots, "node", "left")
     group = group.withColumn("root", F.coalesce("root", "node") if roots is not None else F.col("node"))
