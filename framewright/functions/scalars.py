@@ -44,7 +44,7 @@ def sure(c: Column) -> Column:
 
 def robust_z(x: Column, median: Column, mad: Column) -> Column:
     """mad: median absolute deviation, unscaled."""
-    return F.when(mad * MAD < TINY, F.lit(0.0)).otherwise((x - median) / (mad * MAD))
+    return F.when(mad * MAD < TINY, F.lit(0.0)).otherwise(F.try_divide(x - median, mad * MAD))
 
 
 # Parts of the names of grippers and other actuators with two states, and names of rotation axes.

@@ -102,7 +102,7 @@ def jerkiness(ds: Dataset, ctx: Context, trims: DataFrame | None = None) -> Data
     jerk = F.transform(F.zip_with(F.zip_with("x", "x1", lambda a, b: a - 3 * b), F.zip_with("x2", "x3", lambda a, b: 3 * a - b), lambda a, b: a + b), lambda d: d / F.lit(dt**3))
     g = f.groupBy("episode_index").agg(F.count("*").alias("n"), F.max(F.sqrt(norm2(vel))).alias("peak"), F.sum(norm2(jerk)).alias("j")).where("n >= 10")
     t = F.col("n") * dt
-    ldlj = -F.ln(t * t * t / (F.col("peak") * F.col("peak")) * (F.col("j") * dt) + 1e-12)
+    ldlj = -F.ln(F.try_divide(t * t * t, F.col("peak") * F.col("peak")) * (F.col("j") * dt) + 1e-12)
     return g.select("episode_index", F.when((F.col("peak") >= TINY) & finite(ldlj), ldlj).alias("ldlj"))
 
 
@@ -149,11 +149,11 @@ def best_lags(ds: Dataset, ctx: Context, cfg: Config) -> DataFrame:
     at = lambda c, i: F.get(F.col(c), F.lit(i))
     sums = [g for i in range(n_dims) for g in (F.covar_pop(at("a", i), at("x.s", i)).alias(f"c{i}"), F.stddev_pop(at("a", i)).alias(f"a{i}"), F.stddev_pop(at("x.s", i)).alias(f"s{i}"))]
     g = each.groupBy("episode_index", F.col("x.lag").alias("lag")).agg(F.count("*").alias("n"), *sums).where("n >= 10").join(whole, "episode_index")
-    r = [F.when(sure(F.col(f"w{i}") > TINY) & sure(F.col(f"s{i}") > TINY), F.when(F.col("n") * F.col(f"a{i}") * F.col(f"s{i}") > TINY, F.col(f"c{i}") / (F.col(f"a{i}") * F.col(f"s{i}"))).otherwise(F.lit(0.0))) for i in range(n_dims)]
+    r = [F.when(sure(F.col(f"w{i}") > TINY) & sure(F.col(f"s{i}") > TINY), F.when(F.col("n") * F.col(f"a{i}") * F.col(f"s{i}") > TINY, F.try_divide(F.col(f"c{i}"), F.col(f"a{i}") * F.col(f"s{i}"))).otherwise(F.lit(0.0))) for i in range(n_dims)]
     mean = F.array_compact(F.array(*r))
     moves = F.exists(F.array(*[sure(F.col(f"w{i}") > TINY) for i in range(n_dims)]), lambda x: x)
     g = g.withColumn("r", mean).withColumn("moves", moves)
-    g = g.withColumn("corr", F.when(F.size("r") > 0, F.aggregate("r", F.lit(0.0), lambda s, x: s + x) / F.size("r")))
+    g = g.withColumn("corr", F.when(F.size("r") > 0, F.try_divide(F.aggregate("r", F.lit(0.0), lambda s, x: s + x), F.size("r"))))
     best = g.where("moves and corr is not null").groupBy("episode_index").agg(F.max(F.struct("corr", (-F.col("lag")).alias("m"))).alias("b")).select("episode_index", (-F.col("b.m")).alias("lag"), F.col("b.corr").alias("corr"))
     still = whole.where(~F.exists(F.array(*[sure(F.col(f"w{i}") > TINY) for i in range(n_dims)]), lambda x: x)).select("episode_index", F.lit(0).alias("lag"), F.lit(0.0).alias("corr"))
     return best.unionByName(still)
