@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -245,11 +245,11 @@ def neighbours(found: DataFrame, order: list[str], min_words: int, k: int, withi
 
 
 def matches(docs: DataFrame, id_col: str, text_col: str, min_words: int, k: int, within: bool) -> DataFrame:
-    """doc, doc_id, start, end, first, of_id: a row for each suffix with a match."""
+    """doc, doc_id, start, end, first, of_id: a row for each match of a suffix with a neighbour."""
     found = stage(suffixes(docs, id_col, text_col, min_words, k), "suffixes")
     hits = neighbours(found, ["gram", "after", "before", "doc_id", "doc", "pos"], min_words, k, within).unionByName(neighbours(found, ["gram", "before", "after", "doc_id", "doc", "pos"], min_words, k, within))
     hits = hits.select("doc", "doc_id", F.explode("pos").alias("p"), "left", "size", "first", "of_id").withColumn("start", F.col("p") - F.col("left"))
-    return hits.groupBy("doc", "doc_id", "start", (F.col("start") + F.col("size")).alias("end"), "first").agg(F.min("of_id").alias("of_id"))
+    return hits.select("doc", "doc_id", "start", (F.col("start") + F.col("size")).alias("end"), "first", "of_id")
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, k: int = KGRAM, within: bool = False, later_only: bool = False) -> DataFrame:
@@ -265,26 +265,15 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     hits = matches(docs, id_col, text_col, min_words, k, within)
     if later_only:
         hits = hits.where("not first")
-    # The matches of a document are as many as its minimisers, whatever the number of its partners.
-    each = hits.groupBy("doc", "doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "first", "of_id"))).alias("m"))
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for doc, doc_id, m in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                joined: list[list] = []
-                for x in m:
-                    if not joined or x["start"] > joined[-1][1]:
-                        joined.append([x["start"], x["end"], True, set()])
-                    last = joined[-1]
-                    last[1], last[2] = max(last[1], x["end"]), last[2] and x["first"]
-                    last[3].add(x["of_id"])
-                rows += [(doc, doc_id, a, b, first, sorted(p for p in ids if p is not None)[:20]) for a, b, first, ids in joined]
-            if rows:
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc", "doc_id", "start", "end", "first", "partners"])
-
-    return each.select("doc", "doc_id", "m").mapInArrow(run, "doc long, doc_id long, start int, end int, first boolean, partners array<long>")
+    # Matches of a document that overlap or touch are one stretch. They are as many as its minimisers, times the
+    # few neighbours of each, whatever the number of its partners.
+    w = Window.partitionBy("doc").orderBy("start", "end")
+    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    hits = hits.withColumn("new", (reach.isNull() | (F.col("start") > reach)).cast("int"))
+    hits = hits.withColumn("stretch", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    partners = F.slice(F.sort_array(F.collect_set("of_id")), 1, 20)
+    out = hits.groupBy("doc", "doc_id", "stretch").agg(F.min("start").cast("int").alias("start"), F.max("end").cast("int").alias("end"), F.bool_and("first").alias("first"), partners.alias("partners"))
+    return out.drop("stretch")
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
