@@ -52,7 +52,7 @@ def test_load_errors(spark, source, tmp_path):
 
 
 def test_sub_columns(spark, tmp_path):
-    ds = episodic.load(spark, str(write(tmp_path / "p", clean(2), parts=True)))
+    ds = episodic.load(spark, str(write(tmp_path / "p", clean(2), files=2, parts=True)))
     assert ds.action_names == [f"{p}.{x}" for p in ("left", "right") for x in "abc"]
     assert ds.frames.select(F.max(F.size("action"))).first()[0] == DIMS
 
