@@ -21,6 +21,8 @@ from framewright.llm.common import WORDED, Words, chunks, read, stage, utf8
 K1, B, THRESHOLD, OVERLAP, SHINGLE = 1.2, 0.75, 0.6, 0.8, 5
 #: Postings of a block; bytes of items in an index (larger sets of items become several indexes).
 BLOCK, INDEX_BYTES = 16, 16_000_000
+#: Blocks of items by which passages are passed over.
+MAX_BLOCKS = 256
 #: Share of an item without a question mark that counts as its answer, at its end.
 ANSWER_SHARE = 0.25
 
@@ -77,6 +79,15 @@ class Index:
         self.parts = [np.array([x for _, x in parts[w]]) for w in self.words.tolist()]
         self.block_max = [np.maximum.reduceat(p, np.arange(0, len(p), BLOCK)) for p in self.parts]
         self.max = np.array([p.max() for p in self.parts]) if self.parts else np.zeros(0)
+        # Blocks of items, MAX_BLOCKS at most, and the greatest part that each word has in each of them.
+        wide = max(1, -(-n // MAX_BLOCKS))
+        self.n_blocks = max(1, -(-n // wide))
+        word = np.repeat(np.arange(len(self.items)), [len(x) for x in self.items])
+        key = word * self.n_blocks + (np.concatenate(self.items) // wide if self.items else np.zeros(0, np.int64))
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        self.wide_max = np.maximum.reduceat(np.concatenate(self.parts), first) if len(first) else np.zeros(0)
+        self.wide_block = key[first] % self.n_blocks
+        self.wide_begin = np.searchsorted(key[first] // self.n_blocks, np.arange(len(self.items) + 1))
         self.shingles = [(_shingles(q, SHINGLE), _shingles(a, SHINGLE)) for q, a in seqs]
         self.sizes = sorted({min(SHINGLE, len(h)) for s in seqs for h in s} - {0})
 
@@ -147,9 +158,9 @@ class Index:
 
 
 def passages(index: Index, w: Words, threshold: float):
-    """(text, first word, end) of the passages that could reach the threshold by their words' maxima, with their words.
+    """(text, first word, end) of the passages in which an item could reach the threshold, with their words.
 
-    A passage is two neighbouring cells, each as long as the longest item: every stretch of an item's length
+    The bound is the sum of the words' maxima within a block of items, for each block. A passage is two neighbouring cells, each as long as the longest item: every stretch of an item's length
     lies in one.
     """
     cell = max(index.longest, SHINGLE)
@@ -163,11 +174,14 @@ def passages(index: Index, w: Words, threshold: float):
     cell_of = base[w.text[hit]] + local // cell
     pair = np.unique(cell_of.astype(np.int64) * len(index.words) + number[hit])
     which, word = pair // len(index.words), pair % len(index.words)
-    bound = np.bincount(which, weights=index.max[word], minlength=base[-1] + 1)
+    times = index.wide_begin[word + 1] - index.wide_begin[word]
+    entry = np.repeat(index.wide_begin[word] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
+    n_all = int(base[-1])
+    bound = np.bincount(np.repeat(which, times) * index.n_blocks + index.wide_block[entry], weights=index.wide_max[entry], minlength=(n_all + 1) * index.n_blocks).reshape(-1, index.n_blocks)
     text_of = np.repeat(np.arange(len(n_cells)), n_cells)
-    single = n_cells[text_of] == 1
-    together = np.where(single, bound[:-1], bound[:-1] + np.where(np.append(text_of[1:], -1) == text_of, bound[1:], 0))
-    able = np.flatnonzero((together >= threshold - 1e-9) & (single | (np.append(text_of[1:], -1) == text_of)))
+    single, goes_on = n_cells[text_of] == 1, np.append(text_of[1:], -1) == text_of
+    together = np.where(goes_on[:, None], bound[:-1] + bound[1:], bound[:-1]).max(axis=1)
+    able = np.flatnonzero((together >= threshold - 1e-9) & (single | goes_on))
     begin = np.searchsorted(which, np.arange(base[-1] + 2))
     for c in able.tolist():
         t = int(text_of[c])
