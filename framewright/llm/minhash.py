@@ -6,8 +6,10 @@ keeps the shingle that arrived first. Two documents agree in a register with the
 similarity. A shingle is done once its next arrival is later than every register of its document.
 
 Texts with the same words are one node from the start, however many rows have them. Nodes of a band's bucket
-are compared with a few leaders of the bucket, not with each other; verified pairs are links, linked nodes a
-component. Buckets that still hold several components get other leaders in further rounds.
+are compared with a leader of the bucket; verified pairs are links, linked nodes a component. The nodes of
+buckets that still hold several components are then joined exactly: of two sets of the least similarity, those
+shingles that come first in any one order hold a common one. The order is by how many nodes have a shingle, so
+that what a family of texts shares comes last.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from framewright.llm.common import WORDED, Words, _BASE, _powers, binaries, chun
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 4
 #: Links of a node that share a copy of its shingles; salts for joins with groups of any size.
 PER_COPY, SALTS = 256, 16
-#: Leaders of a bucket in the rounds after the first.
-LEADERS = 8
+#: Nodes from which on a shingle is frequent, at least; nodes of a shingle's prefixes that are compared with the others at once.
+FREQUENT, PER_SHINGLE = 16, 256
 #: Ids that may be broadcast (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -177,6 +179,70 @@ def verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return p.join(right, "b").join(left, ["a", "_salt"]).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def prefixes(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """shingle, node, root, at, n: of each node, as many shingles from the beginning of the order as two sets of the similarity must share one of.
+
+    The order is by the frequency of frequent shingles, then by hash. They are those of more nodes than let
+    BROADCAST_IDS of them exist.
+    """
+    own = (F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes).join(sets, "node").select("node", "root", "shingles")
+
+    def counted(batches):
+        for batch in batches:
+            h, n = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint32), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int32)), pa.array(n.astype(np.int64))], names=["shingle", "n"])
+
+    total = own.agg(F.coalesce(F.sum(F.octet_length("shingles")), F.lit(0)).alias("n")).collect()[0].n // 4
+    times = own.select("shingles").mapInArrow(counted, "shingle int, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    table = times.where(F.col("n") > max(FREQUENT, total // max(1, BROADCAST_IDS))).toArrow()
+    shingle, n = table["shingle"].to_numpy().view(np.uint32), table["n"].to_numpy()
+    order = np.argsort(shingle)
+    sent = nodes.sparkSession.sparkContext.broadcast((shingle[order], n[order]))
+
+    def run(batches):
+        known, often = sent.value
+        for batch in batches:
+            parts, many, sizes = [], [], []
+            for raw in batch.column(2).to_pylist():
+                x = np.frombuffer(raw, np.uint32)
+                p = len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1
+                if len(known):
+                    i = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                    x = x[np.argsort(np.where(known[i] == x, often[i], 0), kind="stable")]
+                parts.append(x[:p].view(np.int32))
+                many.append(len(parts[-1]))
+                sizes.append(len(x))
+            if not many:
+                continue
+            of = pa.array(np.repeat(np.arange(len(many)), many))
+            at = np.concatenate([np.arange(m, dtype=np.int32) for m in many])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), batch.column(0).take(of), batch.column(1).take(of), pa.array(at), pa.array(np.repeat(sizes, many).astype(np.int32))], names=["shingle", "node", "root", "at", "n"])
+
+    return stage(own.mapInArrow(run, "shingle int, node long, root long, at int, n int"), "near-prefixes")
+
+
+def unresolved(members: DataFrame, roots: DataFrame | None, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes of different components, in buckets with several ones, that sizes and prefixes don't exclude.
+
+    At a shingle, all that is outside of its most frequent component is paired; so a large component isn't
+    paired with itself. What follows the first common shingle bounds how many can be common.
+    """
+    rooted = members.select("bucket", "node", F.col("node").alias("root"))
+    if roots is not None:
+        rooted = members.select("bucket", "node").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    open_ = rooted.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("bucket")
+    nodes = stage(salted(rooted, "node").join(copies(open_), ["bucket", "_salt"]).select("node", "root").distinct(), "near-open")
+    first = prefixes(nodes, sets, similarity)
+    top = first.groupBy("shingle", "root").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("c"), F.count("*").alias("k")).where("k > 1")
+    top = top.select("shingle", F.col("m.root").alias("most"), F.ceil((F.col("c") - F.col("m.c")) / F.lit(PER_SHINGLE)).cast("int").alias("_n"))
+    both = stage(first.join(top, "shingle"), "near-shared")
+    x = both.where("root <> most").withColumn("_salt", F.pmod(F.xxhash64("node"), F.col("_n")).cast("int")).select("shingle", "_salt", "most", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("at").alias("i"), F.col("n").alias("na"))
+    y = both.select("shingle", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_salt"), F.col("node").alias("b"), F.col("root").alias("rb"), F.col("at").alias("j"), F.col("n").alias("nb"))
+    fits = (F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-6) & (F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j")) * (1 + similarity) >= similarity * (F.col("na") + F.col("nb")) - 1e-6)
+    once = (F.col("rb") == F.col("most")) | (F.col("a") < F.col("b"))
+    return x.join(y, ["shingle", "_salt"]).where((F.col("ra") != F.col("rb")) & once & fits).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and root, the least node of its component, for the nodes of the links (a, b).
 
@@ -206,8 +272,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     the same), are in a class with rows of the same bytes only. Very long texts are compared whole. Rows that repeat are
     rows of the class each. An empty table gives an empty result. Other columns are ignored.
 
-    A pair of similarity s shares a band with probability 1 - (1 - s^rows)^bands (at 0.8: 1 - 3e-6). Rounds of
-    new leaders end when one has found no link.
+    A pair of similarity s shares a band with probability 1 - (1 - s^rows)^bands (at 0.8: 1 - 3e-6). Every
+    pair that shares one is then linked through others, verified, or excluded by its sizes and prefixes.
     """
     signed = stage(sign(docs, id_col, text_col, bands, rows), "near-signed")
     nodes = stage(signed.groupBy("node", "check").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.any_value("bands").alias("bands")), "near-nodes")
@@ -217,31 +283,20 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     members = stage(salted(every, "node").join(copies(spread), ["bucket", "_salt"]).select("bucket", "node", "mid"), "near-members")
     # The node of least hash leads: in most of the buckets that a group of near copies falls into, the same one.
     pairs = members.select("node", F.col("mid").alias("leader"))
-    links, roots, sets, seed = None, None, None, 0
-    while True:
-        pairs = pairs.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-        # A pair may come with either node as leader; the one with the lesser hash stays leader.
-        swap = F.xxhash64("a") > F.xxhash64("b")
-        pairs = pairs.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b")).distinct()
-        pairs = stage(pairs, "near-pairs")
-        if not pairs.limit(1).count():
-            break
-        if sets is None:
-            sets = sets_of(docs, members.select("node").distinct(), text_col)
-        found = stage(verify(pairs, sets, similarity), "near-found")
-        if not found.limit(1).count():
-            break
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
-        # Next round: in buckets with several components, all that is outside of the most frequent one is compared
-        # with LEADERS nodes of other components, which are drawn anew for each bucket and round.
-        rooted = members.select("bucket", "node").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-        drawn = [F.min_by(F.struct("node", "root"), F.xxhash64("node", "bucket", F.lit(seed + i))).alias(f"l{i}") for i in range(LEADERS)]
-        open_ = rooted.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.mode("root").alias("most"), *drawn).where("r0 < r1")
-        open_ = open_.select("bucket", "most", F.array_distinct(F.array(*[f"l{i}" for i in range(LEADERS)])).alias("leads"))
-        again = salted(rooted, "node").join(copies(open_), ["bucket", "_salt"]).where("root <> most")
-        pairs = again.select("node", "root", F.explode("leads").alias("lead")).where("root <> lead.root").select("node", F.col("lead.node").alias("leader"))
-        seed += LEADERS
+    pairs = pairs.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    # A pair may come with either node as leader; the one with the lesser hash stays leader.
+    swap = F.xxhash64("a") > F.xxhash64("b")
+    pairs = stage(pairs.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b")).distinct(), "near-pairs")
+    roots = None
+    if pairs.limit(1).count():
+        sets = sets_of(docs, members.select("node").distinct(), text_col)
+        links = stage(verify(pairs, sets, similarity), "near-found")
+        roots = components(links) if links.limit(1).count() else None
+        left = stage(unresolved(members, roots, sets, similarity), "near-pairs")
+        if left.limit(1).count():
+            found = stage(verify(left, sets, similarity), "near-found")
+            if found.limit(1).count():
+                roots = components(links.unionByName(found))
     group = nodes.drop("bands")
     group = group if roots is None else group.join(roots, "node", "left")
     group = group.withColumn("root", F.coalesce("root", "node") if roots is not None else F.col("node"))

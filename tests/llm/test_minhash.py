@@ -118,3 +118,20 @@ def test_empty_table_and_shuffled_ids(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert M.classes(df.limit(0)).count() == 0
     assert sorted((tuple(r) for r in M.classes(df).collect()), key=str) == brute(rows)
+
+
+def family(rng, n, pairs):
+    """Texts that share a long passage, alike at 0.6 to 0.75, and after them near copies of a few."""
+    shared = " ".join(f"s{rng.randrange(10**6)}" for _ in range(160))
+    texts = [shared + " " + " ".join(f"o{rng.randrange(10**6)}" for _ in range(rng.randrange(28, 50))) for _ in range(n)]
+    for t in texts[:pairs]:
+        texts.append(" ".join([*t.split()[:-19], *(f"p{rng.randrange(10**6)}" for _ in range(19))]))
+    return texts
+
+
+def test_pairs_within_a_family_of_alike_texts(spark):
+    rows = list(enumerate(family(random.Random(5), 400, 1)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    assert sum(r[2] > 1 for r in want) == 2
+    assert sorted((tuple(r) for r in M.classes(df, bands=4, rows=1).collect()), key=str) == want
