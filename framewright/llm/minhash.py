@@ -1,9 +1,10 @@
 """Near-duplicates by ProbMinHash, banding and verification.
 
-A document is a set of word shingles with their counts as weights. For each shingle of weight w a Poisson
-process of rate w is simulated from the shingle's hash; each arrival goes to a random register, and a register
-keeps the shingle that arrived first. Two documents agree in a register with their probability Jaccard
-similarity. A shingle is done once its next arrival is later than every register of its document.
+A document is a set of word shingles. For each shingle of weight w a Poisson process of rate w is simulated from
+the shingle's hash; each arrival goes to a random register, and a register keeps the shingle that arrived first.
+Two documents agree in a register with their probability Jaccard similarity. A shingle is done once its next
+arrival is later than every register of its document. Links are promised by the Jaccard similarity of sets,
+whatever the counts, so documents are sketched with weights of 1, for which both similarities are the same.
 
 Texts with the same words are one node from the start, however many rows have them. Nodes of a band's bucket
 are compared with a leader of the bucket; verified pairs are links, linked nodes a component. The nodes of
@@ -114,8 +115,9 @@ def sign(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int) ->
     def run(batches):
         for batch in chunks(batches, text_col, 2_000_000):
             data, at = utf8(batch.column(1))
-            h, count, first, a, b = shingles(data, at)
-            keys = band_keys(prob_minhash(h, count.astype(np.float64), first, bands * rows), bands, rows)
+            h, _, first, a, b = shingles(data, at)
+            # With weights of 1 registers agree with the Jaccard similarity of the sets, which is what is verified.
+            keys = band_keys(prob_minhash(h, np.ones(len(h)), first, bands * rows), bands, rows)
             n = np.diff(first)
             keys, many = keys[n > 0], np.where(n > 0, bands, 0)
             yield pa.RecordBatch.from_arrays(

@@ -135,3 +135,15 @@ def test_pairs_within_a_family_of_alike_texts(spark):
     want = brute(rows)
     assert sum(r[2] > 1 for r in want) == 2
     assert sorted((tuple(r) for r in M.classes(df, bands=4, rows=1).collect()), key=str) == want
+
+
+def test_pairs_whose_counts_differ(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(6):
+        body = " ".join(f"w{rng.randrange(10**6)}" for _ in range(200))
+        line = " ".join(f"l{rng.randrange(10**6)}" for _ in range(10)) + ". "
+        rows += [(2 * i, line * 200 + body), (2 * i + 1, line * 2 + body)]
+    want = brute(rows)
+    assert all(r[1:3] == (r[0] // 2 * 2, 2) for r in want)
+    assert sorted((tuple(r) for r in M.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str) == want
