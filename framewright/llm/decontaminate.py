@@ -5,7 +5,7 @@ in blocks with their maxima. Every passage of every document is a query. An item
 the item itself would get as query, so one threshold fits items of any length. The search skips what can't
 reach the threshold: passages by the sum of their words' maxima, then items by pivots, then blocks by their
 maxima. Items above the threshold are verified: enough of the question's and of the answer's shingles must
-stand in the passage.
+stand in the passage; of an item without an answer of its own, enough of the whole item's suffice.
 """
 
 from __future__ import annotations
@@ -27,10 +27,16 @@ MAX_BLOCKS = 256
 ANSWER_SHARE = 0.25
 
 
+def has_answer(text: str) -> bool:
+    """Whether words follow the item's last question mark."""
+    _, mark, tail = text.rpartition("?")
+    return bool(mark) and any(c.isalnum() for c in tail)
+
+
 def split_item(text: str) -> tuple[str, str]:
     """Question and answer of an item: up to its last question mark, and the rest; without one, or without a word after it, the last quarter of the words is the answer."""
-    head, mark, tail = text.rpartition("?")
-    if mark and any(c.isalnum() for c in tail):
+    if has_answer(text):
+        head, mark, tail = text.rpartition("?")
         return head + mark, tail
     words = text.split()
     n = max(1, round(len(words) * (1 - ANSWER_SHARE)))
@@ -54,9 +60,9 @@ def _shingles(h: np.ndarray, size: int) -> np.ndarray:
 
 
 class Index:
-    """Postings of normalised BM25 parts, in blocks, and each item's shingles."""
+    """Postings of normalised BM25 parts, in blocks, and each item's shingles; of those that are `undivided`, the whole item's, too."""
 
-    def __init__(self, ids: list, questions: list[str], answers: list[str]):
+    def __init__(self, ids: list, questions: list[str], answers: list[str], undivided: list[bool] | None = None):
         self.ids = ids
         seqs = [(_hashes(q or ""), _hashes(a or "")) for q, a in zip(questions, answers, strict=True)]
         whole = [np.concatenate(s) for s in seqs]
@@ -89,7 +95,8 @@ class Index:
         self.wide_block = key[first] % self.n_blocks
         self.wide_begin = np.searchsorted(key[first] // self.n_blocks, np.arange(len(self.items) + 1))
         self.shingles = [(_shingles(q, SHINGLE), _shingles(a, SHINGLE)) for q, a in seqs]
-        self.sizes = sorted({min(SHINGLE, len(h)) for s in seqs for h in s} - {0})
+        self.whole = [_shingles(h, SHINGLE) if one else None for h, one in zip(whole, undivided or [False] * n, strict=True)]
+        self.sizes = sorted({min(SHINGLE, len(h)) for s in [*seqs, whole] for h in s} - {0})
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Numbers of words in the index, -1 for others."""
@@ -147,14 +154,14 @@ class Index:
         return found
 
     def verify(self, item: int, have: dict[int, np.ndarray], overlap: float) -> tuple[float, float] | None:
-        """Shares of the question's and of the answer's shingles among those of a passage (size -> hashes), if both suffice; an empty part has all."""
-        shares = []
-        for own in self.shingles[item]:
-            share = float(np.isin(own, have["all"]).mean()) if len(own) else 1.0
-            if share < overlap - 1e-9:
-                return None
-            shares.append(share)
-        return tuple(shares) if any(len(s) for s in self.shingles[item]) else None
+        """Shares of the question's and of the answer's shingles among those of a passage (size -> hashes), if both suffice, or the whole's if the item is undivided; an empty part has all."""
+        shares = tuple(float(np.isin(own, have["all"]).mean()) if len(own) else 1.0 for own in self.shingles[item])
+        if not any(len(s) for s in self.shingles[item]):
+            return None
+        if min(shares) >= overlap - 1e-9:
+            return shares
+        whole = self.whole[item]
+        return shares if whole is not None and np.isin(whole, have["all"]).mean() >= overlap - 1e-9 else None
 
 
 def passages(index: Index, w: Words, threshold: float):
@@ -198,7 +205,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     """doc_id, item_id, score, question_overlap, answer_overlap: a row for each document and item that it holds.
 
     score is the item's best over the document's passages, 1 if all its words are in one. Questions and
-    answers come from question_col and answer_col, or by split_item from item_text. Null and empty texts
+    answers come from question_col and answer_col, or by split_item from item_text. An item of item_text without an
+    answer of its own is also held if `overlap` of the shingles of the whole item are, whatever its parts'. Null and empty texts
     and items match nothing. Rows that repeat an id are one document; an item id that repeats is one item with the best match.
     Documents are searched whole. Empty tables give an empty result; other columns are ignored. With key_col,
     that long column stands for the document's id.
@@ -217,7 +225,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     for g in range(groups):
         rows = parts.where(F.pmod(F.xxhash64("i", "q"), F.lit(groups)) == g).orderBy("i", "q", "a").collect()
         cut = [split_item(r.q) if r.a is None and not question_col else (r.q, r.a) for r in rows]
-        index = Index([r.i for r in rows], [q for q, _ in cut], [a for _, a in cut])
+        undivided = [r.a is None and not question_col and not has_answer(r.q) for r in rows]
+        index = Index([r.i for r in rows], [q for q, _ in cut], [a for _, a in cut], undivided)
         part = d.mapInArrow(_search(spark.sparkContext.broadcast(index), threshold, overlap), FOUND)
         found = part if found is None else found.unionByName(part)
     best = F.max(F.struct("score", "question_overlap", "answer_overlap")).alias("m")

@@ -98,3 +98,15 @@ def test_question_and_answer_columns(spark):
     bench = spark.createDataFrame([(7, "the capital of w1 is", "w2")], "item_id long, question string, answer string")
     got = D.contaminated(df, bench, question_col="question", answer_col="answer").collect()
     assert [(r.doc_id, r.item_id) for r in got] == [(1, 7)]
+
+
+def test_items_without_answer_and_one_edit(spark):
+    rng = random.Random(9)
+    items = [(j, " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))) for j, n in enumerate((32, 40, 54))] + [(3, "which w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13 w14 w15 w16 w17 w18 w19 w20? a1 a2 a3 a4 a5 a6")]
+    rows = []
+    for j, t in items:
+        w = t.split()
+        rows += [(10 * j, " ".join([*w[:-3], "edited", *w[-2:]])), (10 * j + 1, " ".join(w[: -len(w) // 8])), (10 * j + 2, " ".join(w[: len(w) // 2]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in D.contaminated(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(10 * j + e, j) for j in range(3) for e in range(2)}
