@@ -256,8 +256,8 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     """doc (row_key), doc_id, start, end (words), first, partners: the stretches of each text that repeat elsewhere.
 
     A stretch is joined from matches of at least min_words words with another document. It is `first` if all
-    its matches are with larger ids (null ids last): the occurrence to keep. partners are the 20 least of the
-    ids matched. With within, matches inside a document count, too. With later_only, only matches with
+    its matches are with larger ids (null ids last): the occurrence to keep. partners are all ids matched: those
+    next to it in the orders, and the keepers so far. Not all documents with a passage are matched with each other. With within, matches inside a document count, too. With later_only, only matches with
     smaller ids are taken. Words are runs of letters and digits, A-Z folded. Texts
     that are null, empty or of fewer words have no stretch. Long texts are read whole. Rows with the same id
     and text are one document. Empty tables give an empty result; other columns are ignored.
@@ -271,7 +271,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     hits = hits.withColumn("new", (reach.isNull() | (F.col("start") > reach)).cast("int"))
     hits = hits.withColumn("stretch", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    partners = F.slice(F.sort_array(F.collect_set("of_id")), 1, 20)
+    partners = F.sort_array(F.collect_set("of_id"))
     out = hits.groupBy("doc", "doc_id", "stretch").agg(F.min("start").cast("int").alias("start"), F.max("end").cast("int").alias("end"), F.bool_and("first").alias("first"), partners.alias("partners"))
     return out.drop("stretch")
 

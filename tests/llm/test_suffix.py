@@ -114,3 +114,12 @@ def test_within_a_document(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert S.repeated(df).count() == 0 and S.cut(df).count() == 0
+
+
+def test_links_are_in_both_rows(spark):
+    rng = random.Random(4)
+    hot = " ".join(f"h{rng.randrange(9999)}" for _ in range(70))
+    rows = [(i, " ".join(f"x{rng.randrange(10**6)}" for _ in range(20)) + " " + hot) for i in range(60)]
+    out = {r.doc_id: r.partners for r in S.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(out) == 60 and max(map(len, out.values())) > 20
+    assert all(i in out[j] for i, others in out.items() for j in others)
