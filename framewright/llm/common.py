@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
@@ -41,6 +43,37 @@ def stage(df: DataFrame, label: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# ---- memory of Python workers -------------------------------------------------------------------------------
+
+#: Rows that Spark hands to a Python worker at once. Texts are cut further by `chunks`; this bounds what is in flight before.
+BATCH_ROWS = 2_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows an Arrow batch to BATCH_ROWS; a lower setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def trimmed(run):
+    """A function for mapInArrow that gives free memory back to the system when a task ends: workers are used again by other stages."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # no glibc
+                pass
+
+    return wrapped
+
+
 # ---- words as arrays ---------------------------------------------------------------------------------------
 
 _RNG = np.random.default_rng(20240229)
@@ -58,6 +91,8 @@ WORDED = np.zeros(256, dtype=bool)
 WORDED[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 _POWERS = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+#: Values that are hashed at once: what bounds the tables of powers, however long a text is.
+BLOCK = 1 << 18
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,6 +113,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def sums(v: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A polynomial hash of each stretch of v, by blocks; first: where each stretch begins, one longer."""
+    out = np.zeros(len(first) - 1, dtype=np.uint64)
+    for p in range(0, len(v), BLOCK):
+        part = v[p : p + BLOCK]
+        power, inverse = _powers(BLOCK + 1)
+        total = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(part * power[: len(part)], out=total[1:])
+        t = np.arange(int(np.searchsorted(first, p, side="right")) - 1, int(np.searchsorted(first, p + len(part))))
+        t = t[t < len(out)]
+        a, b = np.maximum(first[t] - p, 0), np.minimum(first[t + 1] - p, len(part))
+        shift = inverse[a]
+        if first[t[0]] < p:
+            shift[0] = pow(_BASE, int(p - first[t[0]]), 2**64)
+        out[t] += (total[b] - total[a]) * shift
+    return out
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and the offsets of its rows in them; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -103,13 +156,34 @@ class Words:
         cut[at] = True
         self.start = np.flatnonzero(inside & (~before | cut))
         self.end = np.flatnonzero(before & (~inside | cut))
-        power, inverse = _powers(n + 1)
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_FOLDED[data] * power[:n], out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * inverse[self.start])
+        del inside, before, cut
+        self.hash = mix(self._sums(data))
         self.first = np.searchsorted(self.start, at)
         self.text = np.repeat(np.arange(len(at) - 1), np.diff(self.first))
 
+    def _sums(self, data: np.ndarray) -> np.ndarray:
+        """A polynomial hash of each word, by blocks of whole words; of a word longer than a block, piece by piece."""
+        out = np.empty(len(self.start), dtype=np.uint64)
+        power, inverse = _powers(BLOCK + 1)
+        i = 0
+        while i < len(out):
+            a = int(self.start[i])
+            j = max(i + 1, int(np.searchsorted(self.end, a + BLOCK, side="right")))
+            if self.end[i] - a > BLOCK:
+                h = 0
+                for p in range(a, int(self.end[i]), BLOCK):
+                    piece = _FOLDED[data[p : min(p + BLOCK, int(self.end[i]))]]
+                    h += int((piece * power[: len(piece)]).sum()) * pow(_BASE, p - a, 2**64)
+                out[i] = h % 2**64
+            else:
+                part = _FOLDED[data[a : self.end[j - 1]]]
+                total = np.zeros(len(part) + 1, dtype=np.uint64)
+                np.cumsum(part * power[: len(part)], out=total[1:])
+                at = self.start[i:j] - a
+                out[i:j] = (total[self.end[i:j] - a] - total[at]) * inverse[at]
+            i = j
+        return out
+
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of k words in a row within a text, and the word at which each begins."""
         h, n = self.hash, len(self.hash) - k + 1

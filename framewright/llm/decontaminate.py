@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import WORDED, Words, chunks, read, stage, utf8
+from framewright.llm.common import WORDED, Words, chunks, read, small_batches, stage, trimmed, utf8
 
 #: BM25's constants; share of its own score that an item must reach; share of shingles that question and answer must have in the passage; words of a shingle.
 K1, B, THRESHOLD, OVERLAP, SHINGLE = 1.2, 0.75, 0.6, 0.8, 5
@@ -23,6 +23,8 @@ K1, B, THRESHOLD, OVERLAP, SHINGLE = 1.2, 0.75, 0.6, 0.8, 5
 BLOCK, INDEX_BYTES = 16, 16_000_000
 #: Blocks of items by which passages are passed over.
 MAX_BLOCKS = 256
+#: Cells of passages whose bounds are summed at once (16 MB with MAX_BLOCKS).
+CELLS = 8_192
 #: Share of an item without a question mark that counts as its answer, at its end.
 ANSWER_SHARE = 0.25
 
@@ -181,14 +183,21 @@ def passages(index: Index, w: Words, threshold: float):
     cell_of = base[w.text[hit]] + local // cell
     pair = np.unique(cell_of.astype(np.int64) * len(index.words) + number[hit])
     which, word = pair // len(index.words), pair % len(index.words)
-    times = index.wide_begin[word + 1] - index.wide_begin[word]
-    entry = np.repeat(index.wide_begin[word] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
     n_all = int(base[-1])
-    bound = np.bincount(np.repeat(which, times) * index.n_blocks + index.wide_block[entry], weights=index.wide_max[entry], minlength=(n_all + 1) * index.n_blocks).reshape(-1, index.n_blocks)
     text_of = np.repeat(np.arange(len(n_cells)), n_cells)
     single, goes_on = n_cells[text_of] == 1, np.append(text_of[1:], -1) == text_of
-    together = np.where(goes_on[:, None], bound[:-1] + bound[1:], bound[:-1]).max(axis=1)
-    able = np.flatnonzero((together >= threshold - 1e-9) & (single | goes_on))
+    # Bounds of some cells at once, and of the one after them: a long text has as many cells as it has words.
+    able = []
+    for low in range(0, n_all, CELLS):
+        high = min(n_all, low + CELLS)
+        p, q = np.searchsorted(which, [low, high + 1])
+        times = index.wide_begin[word[p:q] + 1] - index.wide_begin[word[p:q]]
+        entry = np.repeat(index.wide_begin[word[p:q]] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
+        at = np.repeat(which[p:q] - low, times) * index.n_blocks + index.wide_block[entry]
+        bound = np.bincount(at, weights=index.wide_max[entry], minlength=(high - low + 1) * index.n_blocks).reshape(-1, index.n_blocks)
+        together = np.where(goes_on[low:high, None], bound[:-1] + bound[1:], bound[:-1]).max(axis=1)
+        able.append(low + np.flatnonzero((together >= threshold - 1e-9) & (single | goes_on)[low:high]))
+    able = np.concatenate(able)
     begin = np.searchsorted(which, np.arange(base[-1] + 2))
     for c in able.tolist():
         t = int(text_of[c])
@@ -214,6 +223,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     Items are indexed in groups of INDEX_BYTES at most, each sent to all tasks; each group costs a pass over the documents.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     if question_col:
         parts = items.select(F.col(item_col).cast("long").alias("i"), F.col(question_col).alias("q"), F.col(answer_col).alias("a") if answer_col else F.lit(""))
     else:
@@ -253,7 +263,7 @@ def _search(sent, threshold: float, overlap: float):
                 cols = list(zip(*best.values(), strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(texts)), pa.array(items, pa.int64()), *(pa.array(c, pa.float64()) for c in cols)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-    return run
+    return trimmed(run)
 
 
 def _shingles_of(h: np.ndarray, size: int) -> np.ndarray:
