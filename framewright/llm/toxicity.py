@@ -16,12 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framewright.llm.common import chunks, read
+from framewright.llm.common import chunks, read, small_batches, trimmed
 
 #: Bound on the labelled texts that the classifier is fitted on, half of them of each label where there are as many.
 TRAIN_ROWS = 6_000
 #: Features kept: those whose presence differs most between the labels, each in MIN_TEXTS texts at least and beyond MIN_G2 of the likelihood-ratio statistic.
-FEATURES, MIN_TEXTS, MIN_G2 = 4096, 4, 15.0
+#: That statistic grows with the texts for a given difference, so with fewer than FULL_ROWS of them both bounds shrink in proportion (MIN_TEXTS to 2).
+FEATURES, MIN_TEXTS, MIN_G2, FULL_ROWS = 4096, 4, 15.0, 450
 #: Weight of the counterfactual penalty, of the squared weights, and passes over the sample.
 CF_WEIGHT, L2, STEPS = 1.0, 0.002, 300
 #: Lengths of word beginnings that are features beside the words.
@@ -76,7 +77,7 @@ class Model:
     def active(self, found) -> set[str]:
         on: set[str] = set()
         known, weights = self.known, self.weights
-        if len(known) > 500_000:
+        if len(known) > 200_000:
             known.clear()
         for word in found:
             hit = known.get(word)
@@ -108,9 +109,10 @@ def fit(texts: list[set[str]], labels: np.ndarray, groups=IDENTITY_TERMS, cf_wei
         cells = ((a, n1 * (a + b) / n), (b, n0 * (a + b) / n), (rest1, n1 * (rest1 + rest0) / n), (rest0, n0 * (rest1 + rest0) / n))
         return 2 * sum(o * np.log(o / e) for o, e in cells if o > 0)
 
-    able = [(g2(b, a), f) for f, (a, b) in counts.items() if a + b >= MIN_TEXTS]
+    share = min(1.0, len(y) / FULL_ROWS)
+    able = [(g2(b, a), f) for f, (a, b) in counts.items() if a + b >= max(2, MIN_TEXTS * share)]
     swaps = [swapped(t, groups) for t in texts]
-    chosen = [f for g, f in sorted(able, key=lambda x: (-x[0], x[1]))[:n_features] if g >= MIN_G2]
+    chosen = [f for g, f in sorted(able, key=lambda x: (-x[0], x[1]))[:n_features] if g >= MIN_G2 * share]
     column = {f: i for i, f in enumerate(chosen)}
 
     def rows(sets):
@@ -171,7 +173,7 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([" ".join(sorted(words(t or ""))) for t in batch.column(1).to_pylist()])], names=["y", "words"])
 
-    got = texts.mapInArrow(run, "y int, words string").toArrow()
+    got = texts.mapInArrow(trimmed(run), "y int, words string").toArrow()
     order = sorted(range(got.num_rows), key=lambda i: (got["y"][i].as_py(), got["words"][i].as_py()))[:most]
     return [set(got["words"][i].as_py().split()) for i in order], np.array([got["y"][i].as_py() for i in order])
 
@@ -188,6 +190,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     Null and empty texts get the score of a text without known features; texts are read whole; rows that
     repeat get equal scores; a column named score_col is replaced, others pass.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop(score_col)
     sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))  # FEATURES entries at most
     where = docs.columns.index(text_col)
@@ -197,7 +200,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
         for batch in chunks(batches, text_col):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([own.score(t) for t in batch.column(where).to_pylist()], pa.float64())], names=[*batch.schema.names, score_col])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
+    return docs.mapInArrow(trimmed(run), T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
 
 
 def remainder(i, of: int):
