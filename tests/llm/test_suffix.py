@@ -54,14 +54,15 @@ def covered(df, rows):
 def test_minimisers_by_hand():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 30, 400).astype(np.uint64)
-    text = np.sort(rng.integers(0, 9, 400))
-    want = set()
-    for t in range(9):
+    text = np.sort(rng.integers(0, 40, 400))
+    want = {}
+    for t in range(40):
         at = np.flatnonzero(text == t)
-        for i in range(max(1, len(at) - 7)):
-            span = at[i : i + 8]
-            want.add(int(max(span, key=lambda x: (-int(h[x]), x))))
-    assert S.minimisers(h, text, 8).tolist() == sorted(want)
+        for i in range(len(at) - 7):
+            own = int(max(at[i : i + 8], key=lambda x: (-int(h[x]), x)))
+            want.setdefault(own, []).append(own - int(at[i]))
+    picked, low, high = S.minimisers(h, text, 8)
+    assert {p: (a, b) for p, a, b in zip(picked.tolist(), low.tolist(), high.tolist())} == {p: (min(x), max(x)) for p, x in want.items()}
 
 
 def test_spans_against_all_windows(spark):
@@ -97,9 +98,11 @@ def test_cut_keeps_everything_once(spark):
     before = [tuple(w[i : i + 60]) for _, t in rows for w in [words(t)] for i in range(len(w) - 59)]
     assert len(left) - len(set(left)) < 0.02 * (len(before) - len(set(before)))
     lost = grams(t for _, t in rows) - grams(r.text for r in out.values())
-    inside = [g for g in lost if sum(g in grams([t]) for _, t in rows) > 1]
+    own = [grams([t]) for _, t in rows]
+    inside = [g for g in lost if sum(g in x for x in own) > 1]
     assert len(inside) < 0.02 * len(grams(t for _, t in rows))
-    untouched = [i for i, t in rows if i is not None and i not in {r.doc_id for r in S.repeated(df).collect()}]
+    found = {r.doc_id for r in S.repeated(df).collect()}
+    untouched = [i for i, t in rows if i is not None and i not in found]
     assert all(out[i].text == dict(rows)[i] for i in untouched)
 
 
@@ -116,10 +119,72 @@ def test_empty(spark):
     assert S.repeated(df).count() == 0 and S.cut(df).count() == 0
 
 
-def test_links_are_in_both_rows(spark):
+def test_all_holders_are_linked_to_the_least(spark):
     rng = random.Random(4)
     hot = " ".join(f"h{rng.randrange(9999)}" for _ in range(70))
     rows = [(i, " ".join(f"x{rng.randrange(10**6)}" for _ in range(20)) + " " + hot) for i in range(60)]
-    out = {r.doc_id: r.partners for r in S.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert len(out) == 60 and max(map(len, out.values())) > 20
-    assert all(i in out[j] for i, others in out.items() for j in others)
+    root = list(range(60))
+    for r in S.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        root[r.doc_id] = min(root[r.doc_id], r.partner)
+        assert r.partner != r.doc_id and r.first == (r.doc_id == 0)
+    assert all(root[i] < i for i in range(1, 60))
+
+
+@pytest.mark.parametrize("slab,parts", [(16_384, 4), (1, 40)])
+def test_longer_matches_on_either_side_hide_none(spark, monkeypatch, slab, parts):
+    """x and B share 52 words; six texts share more words to the right with x, six more to the left."""
+    monkeypatch.setattr(S, "SLAB", slab)
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    rng = random.Random(9)
+    say = lambda n: [f"v{rng.randrange(10**7)}" for _ in range(n)]
+    rows, hidden = [], []
+    for case in range(30):
+        gram, left, right = say(12), say(38), say(38)
+        pad = lambda: say(40)
+        x = pad() + left + gram + right + pad()
+        b = pad() + say(18) + left[-20:] + gram + right[:20] + say(18) + pad()
+        family = [pad() + say(38) + gram + right[:30] + pad() for _ in range(6)] + [pad() + left[-30:] + gram + say(38) + pad() for _ in range(6)]
+        for text in (x, b, *family):
+            rows.append((len(rows), " ".join(text)))
+        hidden.append((len(rows) - 14, len(rows) - 13))
+    rng.shuffle(rows)
+    try:
+        got = covered(S.repeated(spark.createDataFrame(rows, "doc_id long, text string")), rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert got == {rows[k][0]: c for k, c in brute(rows, 50).items()}
+    assert all(len(got[i]) >= 52 for pair in hidden for i in pair)
+
+
+def test_families_of_edited_copies(spark, monkeypatch):
+    monkeypatch.setattr(S, "SLAB", 64)
+    rng = random.Random(11)
+    rows = []
+    for _ in range(4):
+        base = [f"e{rng.randrange(10**6)}" for _ in range(400)]
+        for _ in range(40):
+            own = list(base)
+            for _ in range(rng.randrange(1, 9)):
+                own[rng.randrange(400)] = f"n{rng.randrange(10**7)}"
+            rows.append((len(rows), " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert covered(S.repeated(df), rows) == brute(rows, 50)
+    # The occurrence to keep is the one with the least id, window by window.
+    later = {}
+    for r in S.spans(df, later_only=True).collect():
+        later.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+    seen, want = set(), {}
+    for i, t in rows:
+        w = words(t)
+        own = [tuple(w[a : a + 50]) for a in range(len(w) - 49)]
+        for a, g in enumerate(own):
+            if g in seen:
+                want.setdefault(i, set()).update(range(a, a + 50))
+        seen.update(own)
+    assert later == want
+
+
+def test_sf_table_against_all_windows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    assert covered(S.repeated(docs), rows) == {rows[k][0]: c for k, c in brute(rows, 50).items()}
