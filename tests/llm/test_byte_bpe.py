@@ -16,7 +16,7 @@ TEXTS = [
 
 
 def replayed(words, ranks):
-    ids, begin = B.replay(words, B.Merges(*B.Merges.of(ranks)), np.array([ranks[bytes([i])] for i in range(256)]))
+    ids, begin = B.replay(words, B.Merges(*B.Merges.of(ranks), np.array([ranks[bytes([i])] for i in range(256)])))
     return [tuple(ids[a:b].tolist()) for a, b in zip(begin, begin[1:])]
 
 
@@ -86,3 +86,31 @@ def test_round_trip_and_extra_columns(spark, library):
         want.add((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert got == want
     assert B.digests(df.limit(0), RANKS, P.PATTERN).count() == 0
+
+
+@pytest.mark.parametrize("many", [1, 10**9])
+def test_arrays_and_single_places_agree(monkeypatch, many):
+    rng = random.Random(8)
+    words = [bytes(rng.choice(b"abcnot ei") for _ in range(rng.randrange(1, 40))) for _ in range(400)] + [b"a" * n for n in range(1, 40)]
+    want = replayed(words, RANKS)
+    monkeypatch.setattr(B, "MANY", many)
+    assert replayed(words, RANKS) == want
+
+
+def test_index_merges_in_rank_order_at_all_positions():
+    """Each merge is told once a pass, in rank order unless a lower one came up, with every position where its pair stands."""
+    words = [b"hello", b"hello", b"yellow", b"aaaaa", b"abab" * 4]
+    merges, said = B.Merges(*B.Merges.of(RANKS), np.array([RANKS[bytes([i])] for i in range(256)])), []
+    ids, begin = B.replay(words, merges, lambda r, places: said.append((r, places)))
+    tokens = {i: bytes([b]) for i, b in enumerate(b"".join(words))}
+    back = {r: t for t, r in RANKS.items()}
+    for r, places in said:
+        for i in places:
+            if back[r].startswith(tokens.get(i, b"-")) and len(tokens[i]) < len(back[r]):
+                j = i + len(tokens[i])
+                if tokens.get(j, b"-") == back[r][len(tokens[i]):]:
+                    tokens[i] = back[r]
+                    del tokens[j]
+    assert [RANKS[tokens[i]] for i in sorted(tokens)] == ids.tolist()
+    first = [r for r, _ in said]
+    assert first[0] == min(first)
