@@ -43,9 +43,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their token ids; a text that its ids don't decode to stops the job."""
     ranks = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    out = byte_bpe.decode(byte_bpe.encode(docs.select(*COLUMNS), ranks, public_tokenizers.PATTERN), ranks, bytes_col="_bytes")
-    same = F.col("_bytes") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    return out.select(*COLUMNS, F.when(same, F.col("token_ids")).otherwise(F.raise_error(F.lit("ids don't decode to the text")).cast("array<int>")).alias("token_ids"), F.size("token_ids").cast("long").alias("n_tokens"))
+    out = byte_bpe.encode(docs.select(*COLUMNS), ranks, public_tokenizers.PATTERN, checked=True)
+    return out.select(*COLUMNS, "token_ids", F.size("token_ids").cast("long").alias("n_tokens"))
 
 
 STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_copies), ("repeated_passages", cut_repeats), ("decontamination", drop_leaks), ("byte_bpe", encode)]
