@@ -15,19 +15,21 @@ that what a family of texts shares comes last.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import WORDED, Words, _BASE, _powers, binaries, chunks, lists, mix, read, stage, utf8
+from framewright.llm.common import WORDED, Words, _BASE, binaries, chunks, lists, mix, read, small_batches, stage, sums, trimmed, utf8
 
 #: Words of a shingle, least Jaccard similarity of a link, bands and registers of a band.
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 4
-#: Links of a node that share a copy of its shingles; salts for joins with groups of any size.
-PER_COPY, SALTS = 256, 16
-#: Nodes from which on a shingle is frequent, at least; nodes of a shingle's prefixes that are compared with the others at once.
-FREQUENT, PER_SHINGLE = 16, 256
+#: Links of a node that share a copy of its shingles.
+PER_COPY = 256
+#: Shingles of more nodes are frequent; nodes of a shingle's prefixes that are compared with the others at once.
+FREQUENT, PER_SHINGLE = 1, 256
 #: Ids that may be broadcast (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -58,19 +60,15 @@ def shingles(data: np.ndarray, at: np.ndarray, size: int = SHINGLE) -> tuple[np.
     return h[new], count, first, *_whole(w, n, data, at)
 
 
-def _sums(v: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A polynomial hash of each stretch of v."""
-    power, inverse = _powers(len(v) + 1)
-    total = np.zeros(len(v) + 1, dtype=np.uint64)
-    np.cumsum(v * power[: len(v)], out=total[1:])
-    return (total[first[1:]] - total[first[:-1]]) * inverse[first[:-1]]
-
-
 def _whole(w: Words, n: np.ndarray, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    by_words = [mix(_sums(w.hash, w.first) + n.astype(np.uint64)), mix(_sums(mix(w.hash + _GOLD), w.first) ^ n.astype(np.uint64))]
-    raw = mix(data.astype(np.uint64) + _GOLD)
-    by_bytes = [mix(_sums(raw, at) ^ _GOLD), mix(_sums(mix(raw), at) + _GOLD)]
-    return tuple(np.where(n > 0, a, b) for a, b in zip(by_words, by_bytes, strict=True))
+    size = n.astype(np.uint64)
+    by_words = mix(sums(w.hash, w.first) + size), mix(sums(mix(w.hash + _GOLD), w.first) ^ size)
+    bare = np.flatnonzero(n == 0)
+    if len(bare):
+        raw = np.concatenate([data[at[i] : at[i + 1]] for i in bare]).astype(np.uint64)
+        raw, first = mix(raw + _GOLD), np.concatenate([[0], np.cumsum(np.diff(at)[bare])])
+        by_words[0][bare], by_words[1][bare] = mix(sums(raw, first) ^ _GOLD), mix(sums(mix(raw), first) + _GOLD)
+    return by_words
 
 
 def prob_minhash(h: np.ndarray, weight: np.ndarray, first: np.ndarray, m: int) -> np.ndarray:
@@ -125,15 +123,7 @@ def sign(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int) ->
                 names=["doc_id", "node", "check", "n_shingles", "bands"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, SIGNED)
-
-
-def salted(df: DataFrame, by: str, salts: int = SALTS) -> DataFrame:
-    return df.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
-
-
-def copies(df: DataFrame, salts: int = SALTS) -> DataFrame:
-    return df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(trimmed(run), SIGNED)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
@@ -153,7 +143,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
             small = (h >> np.uint64(32)).astype(np.uint32)
             yield pa.RecordBatch.from_arrays([pa.array(node[mine]), binaries([np.unique(small[first[i] : first[i + 1]]).tobytes() for i in mine])], names=["node", "shingles"])
 
-    sets = docs.select(text_col).mapInArrow(run, "node long, shingles binary").join(wanted, "node", "left_semi")
+    sets = docs.select(text_col).mapInArrow(trimmed(run), "node long, shingles binary").join(wanted, "node", "left_semi")
     return stage(sets.groupBy("node").agg(F.any_value("shingles").alias("shingles")), "near-sets")
 
 
@@ -178,14 +168,32 @@ def verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    return p.join(right, "b").join(left, ["a", "_salt"]).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return p.join(right, "b").join(left, ["a", "_salt"]).select("a", "b", "x", "y").mapInArrow(trimmed(run), "a long, b long")
+
+
+def by_leaders(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Verified links (a, b) of nodes with the leaders of their buckets, the nodes of least hash in them.
+
+    First each node meets one leader, the one of least hash of all its buckets: in a group of near copies, the
+    same for most. Then it meets the leaders of its other buckets that have not ended up with the same one.
+    """
+    led = members.where("node <> mid").select("node", F.col("mid").alias("leader")).distinct()
+    best = led.groupBy("node").agg(F.min_by("leader", F.xxhash64("leader")).alias("leader"))
+    one = stage(verify(best.select(F.col("leader").alias("a"), F.col("node").alias("b")), sets, similarity), "near-led")
+    label = lambda c: one.select(F.col("b").alias(c), F.col("a").alias(f"{c}_at"))
+    rest = led.join(best, ["node", "leader"], "left_anti").join(label("node"), "node", "left").join(label("leader"), "leader", "left")
+    rest = rest.where(F.coalesce("node_at", "node") != F.coalesce("leader_at", "leader"))
+    # A pair may come with either node as leader; the one with the lesser hash stays leader.
+    swap = F.xxhash64("leader") > F.xxhash64("node")
+    pairs = rest.select(F.when(swap, F.col("node")).otherwise(F.col("leader")).alias("a"), F.when(swap, F.col("leader")).otherwise(F.col("node")).alias("b")).distinct()
+    return one.unionByName(verify(stage(pairs, "near-pairs"), sets, similarity)).distinct()
 
 
 def prefixes(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """shingle, node, root, at, n: of each node, as many shingles from the beginning of the order as two sets of the similarity must share one of.
 
-    The order is by the frequency of frequent shingles, then by hash. They are those of more nodes than let
-    BROADCAST_IDS of them exist.
+    The order is by frequency, so rare shingles, which pair few nodes, come first. Frequencies are known of those
+    shingles that more than FREQUENT nodes have, or as many nodes as let BROADCAST_IDS of them exist.
     """
     own = (F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes).join(sets, "node").select("node", "root", "shingles")
 
@@ -196,7 +204,8 @@ def prefixes(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
     total = own.agg(F.coalesce(F.sum(F.octet_length("shingles")), F.lit(0)).alias("n")).collect()[0].n // 4
     times = own.select("shingles").mapInArrow(counted, "shingle int, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    table = times.where(F.col("n") > max(FREQUENT, total // max(1, BROADCAST_IDS))).toArrow()
+    least = max(FREQUENT, total // max(1, BROADCAST_IDS))
+    table = times.where(F.col("n") > least).toArrow()
     shingle, n = table["shingle"].to_numpy().view(np.uint32), table["n"].to_numpy()
     order = np.argsort(shingle)
     sent = nodes.sparkSession.sparkContext.broadcast((shingle[order], n[order]))
@@ -204,43 +213,62 @@ def prefixes(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     def run(batches):
         known, often = sent.value
         for batch in batches:
-            parts, many, sizes = [], [], []
+            parts, places, sizes, marks = [], [], [], []
             for raw in batch.column(2).to_pylist():
                 x = np.frombuffer(raw, np.uint32)
                 p = len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1
+                marks.append(parities(x))
+                times = np.zeros(len(x), dtype=np.int64)
                 if len(known):
                     i = np.minimum(np.searchsorted(known, x), len(known) - 1)
-                    x = x[np.argsort(np.where(known[i] == x, often[i], 0), kind="stable")]
-                parts.append(x[:p].view(np.int32))
-                many.append(len(parts[-1]))
+                    times = np.where(known[i] == x, often[i], 0)
+                by = np.argsort(times, kind="stable")[:p]
+                # A shingle that no other node has pairs nobody.
+                at = np.flatnonzero(times[by] > 1) if least == 1 else np.arange(len(by))
+                parts.append(x[by[at]].view(np.int32))
+                places.append(at.astype(np.int32))
                 sizes.append(len(x))
-            if not many:
+            if not parts:
                 continue
+            many = [len(x) for x in parts]
             of = pa.array(np.repeat(np.arange(len(many)), many))
-            at = np.concatenate([np.arange(m, dtype=np.int32) for m in many])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), batch.column(0).take(of), batch.column(1).take(of), pa.array(at), pa.array(np.repeat(sizes, many).astype(np.int32))], names=["shingle", "node", "root", "at", "n"])
+            columns = [pa.array(np.concatenate(parts)), batch.column(0).take(of), batch.column(1).take(of), pa.array(np.concatenate(places)), pa.array(np.repeat(sizes, many).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(np.repeat(m, many)) for m in np.array(marks).T)], names=["shingle", "node", "root", "at", "n", *MARKS])
+
+    return stage(own.mapInArrow(trimmed(run), "shingle int, node long, root long, at int, n int, " + ", ".join(f"{m} long" for m in MARKS)), "near-prefixes")
 
-    return stage(own.mapInArrow(run, "shingle int, node long, root long, at int, n int"), "near-prefixes")
+
+#: Columns with the parities of a set's shingles in 64 bits each.
+MARKS = ("m0", "m1", "m2", "m3")
+
+
+def parities(x: np.ndarray) -> np.ndarray:
+    """For each of 256 bits whether an odd number of the shingles falls on it. Of two sets, what they share cancels out: no more bits differ than shingles are in one of them only."""
+    odd = np.bincount((mix(x) >> np.uint64(40)).astype(np.int64) & 255, minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def unresolved(members: DataFrame, roots: DataFrame | None, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes of different components, in buckets with several ones, that sizes and prefixes don't exclude.
+    """The pairs (a, b) of nodes of different components, in buckets with several ones, that sizes, prefixes and parities don't exclude.
 
     At a shingle, all that is outside of its most frequent component is paired; so a large component isn't
-    paired with itself. What follows the first common shingle bounds how many can be common.
+    paired with itself. What follows the first common shingle bounds how many can be common; the bits in which
+    the parities differ, how many are not.
     """
     rooted = members.select("bucket", "node", F.col("node").alias("root"))
     if roots is not None:
         rooted = members.select("bucket", "node").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     open_ = rooted.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("bucket")
-    nodes = stage(salted(rooted, "node").join(copies(open_), ["bucket", "_salt"]).select("node", "root").distinct(), "near-open")
+    nodes = stage(rooted.join(stage(open_, "near-buckets"), "bucket").select("node", "root").distinct(), "near-open")
     first = prefixes(nodes, sets, similarity)
     top = first.groupBy("shingle", "root").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("c"), F.count("*").alias("k")).where("k > 1")
     top = top.select("shingle", F.col("m.root").alias("most"), F.ceil((F.col("c") - F.col("m.c")) / F.lit(PER_SHINGLE)).cast("int").alias("_n"))
     both = stage(first.join(top, "shingle"), "near-shared")
-    x = both.where("root <> most").withColumn("_salt", F.pmod(F.xxhash64("node"), F.col("_n")).cast("int")).select("shingle", "_salt", "most", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("at").alias("i"), F.col("n").alias("na"))
-    y = both.select("shingle", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_salt"), F.col("node").alias("b"), F.col("root").alias("rb"), F.col("at").alias("j"), F.col("n").alias("nb"))
+    x = both.where("root <> most").withColumn("_salt", F.pmod(F.xxhash64("node"), F.col("_n")).cast("int")).select("shingle", "_salt", "most", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("at").alias("i"), F.col("n").alias("na"), *[F.col(m).alias(f"a_{m}") for m in MARKS])
+    y = both.select("shingle", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_salt"), F.col("node").alias("b"), F.col("root").alias("rb"), F.col("at").alias("j"), F.col("n").alias("nb"), *[F.col(m).alias(f"b_{m}") for m in MARKS])
     fits = (F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-6) & (F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j")) * (1 + similarity) >= similarity * (F.col("na") + F.col("nb")) - 1e-6)
+    apart = reduce(lambda s, c: s + c, [F.bit_count(F.col(f"a_{m}").bitwiseXOR(F.col(f"b_{m}"))) for m in MARKS])
+    fits = fits & (apart * (1 + similarity) <= (1 - similarity) * (F.col("na") + F.col("nb")) + 1e-6)
     once = (F.col("rb") == F.col("most")) | (F.col("a") < F.col("b"))
     return x.join(y, ["shingle", "_salt"]).where((F.col("ra") != F.col("rb")) & once & fits).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
@@ -277,22 +305,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     A pair of similarity s shares a band with probability 1 - (1 - s^rows)^bands (at 0.8: 1 - 3e-6). Every
     pair that shares one is then linked through others, verified, or excluded by its sizes and prefixes.
     """
+    small_batches(docs.sparkSession)
     signed = stage(sign(docs, id_col, text_col, bands, rows), "near-signed")
     nodes = stage(signed.groupBy("node", "check").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.any_value("bands").alias("bands")), "near-nodes")
     every = nodes.select("node", F.explode("bands").alias("bucket"))
     # A bucket counts if two nodes are in it; least and greatest node, kept for each bucket, say so.
     spread = every.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min_by("node", F.xxhash64("node")).alias("mid")).where("lo < hi")
-    members = stage(salted(every, "node").join(copies(spread), ["bucket", "_salt"]).select("bucket", "node", "mid"), "near-members")
-    # The node of least hash leads: in most of the buckets that a group of near copies falls into, the same one.
-    pairs = members.select("node", F.col("mid").alias("leader"))
-    pairs = pairs.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-    # A pair may come with either node as leader; the one with the lesser hash stays leader.
-    swap = F.xxhash64("a") > F.xxhash64("b")
-    pairs = stage(pairs.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b")).distinct(), "near-pairs")
+    # A row a bucket against the nodes of each: a join whose large buckets the adaptive plan splits, as both sides are plain exchanges.
+    members = stage(every.join(stage(spread.select("bucket", "mid"), "near-buckets"), "bucket").select("bucket", "node", "mid"), "near-members")
     roots = None
-    if pairs.limit(1).count():
+    if members.limit(1).count():
         sets = sets_of(docs, members.select("node").distinct(), text_col)
-        links = stage(verify(pairs, sets, similarity), "near-found")
+        links = stage(by_leaders(members, sets, similarity), "near-found")
         roots = components(links) if links.limit(1).count() else None
         left = stage(unresolved(members, roots, sets, similarity), "near-pairs")
         if left.limit(1).count():
@@ -305,7 +329,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     total = group.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size"))
     by_node = stage(group.join(total, "root").select("node", "check", "class_id", "class_size", F.col("n").alias("n_copies")), "near-classes")
     many = by_node.where("class_size > 1")
-    out = salted(signed.select("doc_id", "node", "check"), "doc_id").join(copies(many), ["node", "check", "_salt"], "left")
+    out = signed.select("doc_id", "node", "check").join(many, ["node", "check"], "left")
     return out.select("doc_id", F.when(F.col("class_size").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
 
 

@@ -147,3 +147,12 @@ def test_pairs_whose_counts_differ(spark):
     want = brute(rows)
     assert all(r[1:3] == (r[0] // 2 * 2, 2) for r in want)
     assert sorted((tuple(r) for r in M.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str) == want
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        both, a, b = (rng.integers(0, 2**32, n, dtype=np.uint64).astype(np.uint32) for n in rng.integers(0, 200, 3))
+        x, y = np.union1d(both, a), np.union1d(both, b)
+        apart = np.bitwise_count((M.parities(x) ^ M.parities(y)).view(np.uint64)).sum()
+        assert apart <= len(np.setxor1d(x, y)) and (apart > 0 or len(np.setxor1d(x, y)) != 1)
