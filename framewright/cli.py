@@ -44,9 +44,9 @@ def parser() -> argparse.ArgumentParser:
     score.add_argument("--quiet", action="store_true")
     command("dedupe", "find exact and near duplicates").add_argument("--json", type=Path)
     export = command("export", "write a cleaned copy")
-    keep = export.add_mutually_exclusive_group()
+    keep = export.add_mutually_exclusive_group(required=True)
     keep.add_argument("--keep-from", type=Path, help="keep what this JSON report keeps")
-    keep.add_argument("--min-score", type=float, default=R.MIN_SCORE)
+    keep.add_argument("--min-score", type=float, help="score now, and keep what reaches this")
     export.add_argument("-o", "--output", type=Path, required=True)
     export.add_argument("--apply-trim", action="store_true")
     video = export.add_mutually_exclusive_group()
@@ -82,6 +82,8 @@ def run(args, spark) -> int:
     from framewright.plans.score import evaluate
     from framewright.sources import episodic, video
 
+    if args.command == "push-report" and not args.dry_run:
+        raise ValueError("there is no uploader here; use --dry-run and upload the files that it writes")
     cfg = Config.load(args.config) if args.config else Config()
     ds = episodic.load(spark, args.source, episode_spec(args.episodes) if args.episodes else None, args.max_episodes)
     for w in ds.warnings:
@@ -92,13 +94,18 @@ def run(args, spark) -> int:
         report = R.load(args.keep_from, len(sizes), sum(sizes))
         keep = R.keep_of(report)
     else:
-        scored = evaluate(ds, cfg, frozenset(getattr(args, "disable_check", ())), video=video.check if getattr(args, "decode_video", False) else None)
+        # Duplicates are compared without their idle ends; no other check has a part in that.
+        off = set(CHECKS) - {"idle", "duplicate"} if args.command == "dedupe" else getattr(args, "disable_check", ())
+        scored = evaluate(ds, cfg, frozenset(off), video=video.check if getattr(args, "decode_video", False) else None)
         report = R.build(ds, scored, getattr(args, "min_score", R.MIN_SCORE))
         keep = R.keep_of(report)
     if args.command == "score":
-        for kind, write in (("json", R.write_json), ("csv", R.write_csv), ("md", lambda r, p: p.write_text(R.markdown(r, args.top), encoding="utf-8"))):
-            if getattr(args, kind):
-                write(report, getattr(args, kind))
+        if args.json:
+            R.write_json(report, args.json)
+        if args.csv:
+            R.write_csv(scored, args.csv)
+        if args.md:
+            args.md.write_text(R.markdown(report, args.top), encoding="utf-8")
         if not args.quiet:
             print(R.terminal(report, args.top))
         return int(args.fail_under is not None and report["summary"]["mean_score"] < args.fail_under)
@@ -116,8 +123,6 @@ def run(args, spark) -> int:
         for w in done.warnings:
             print(f"warning: {w}", file=sys.stderr)
         return 0
-    if not args.dry_run:
-        raise ValueError("there is no uploader here; use --dry-run and upload the files that it writes")
     text = R.badge(report["summary"]["mean_score"]) + "\n\n" + R.markdown(report, args.top)
     if args.output:
         args.output.mkdir(parents=True, exist_ok=True)

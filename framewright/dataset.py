@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FRAMES = "episode_index bigint, pos int, frame_index bigint, timestamp double, action array<double>, state array<double>, task_index bigint"
-EPISODES = "episode_index bigint, meta_length bigint, task string, spans map<string,struct<start:double,end:double>>, cameras map<string,struct<mean:double,std:double>>"
+#: Where a camera's clip lies: seconds within its file, and the numbers of that file in layouts that number files.
+SPAN = "struct<start:double,end:double,chunk:bigint,file:bigint>"
+EPISODES = f"episode_index bigint, meta_length bigint, task string, spans map<string,{SPAN}>, cameras map<string,struct<mean:double,std:double>>"
 
 
 @dataclass(frozen=True)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framewright.dataset import EPISODES, Dataset
+from framewright.dataset import EPISODES, SPAN, Dataset
 from framewright.functions.scalars import finite
 
 REQUIRED = ("episode_index", "frame_index", "timestamp")
@@ -112,7 +112,8 @@ def _map(entries: list, kind: str):
 def episodes_v3(raw: DataFrame, cameras: list[str]) -> DataFrame:
     """EPISODES from wide metadata rows."""
     has, c = set(raw.columns), lambda name: F.col(f"`{name}`")
-    spans = [F.struct(F.lit(cam).alias("key"), F.when(c(f"videos/{cam}/from_timestamp").isNotNull(), F.struct(c(f"videos/{cam}/from_timestamp").cast("double").alias("start"), c(f"videos/{cam}/to_timestamp").cast("double").alias("end"))).alias("value")) for cam in cameras if {f"videos/{cam}/from_timestamp", f"videos/{cam}/to_timestamp"} <= has]
+    whole = lambda name: c(name).cast("bigint") if name in has else F.lit(None).cast("bigint")
+    spans = [F.struct(F.lit(cam).alias("key"), F.when(c(f"videos/{cam}/from_timestamp").isNotNull(), F.struct(c(f"videos/{cam}/from_timestamp").cast("double").alias("start"), c(f"videos/{cam}/to_timestamp").cast("double").alias("end"), whole(f"videos/{cam}/chunk_index").alias("chunk"), whole(f"videos/{cam}/file_index").alias("file"))).alias("value")) for cam in cameras if {f"videos/{cam}/from_timestamp", f"videos/{cam}/to_timestamp"} <= has]
     stats = []
     for cam in cameras:
         m, s = f"stats/{cam}/mean", f"stats/{cam}/std"
@@ -121,7 +122,7 @@ def episodes_v3(raw: DataFrame, cameras: list[str]) -> DataFrame:
             stats.append(F.struct(F.lit(cam).alias("key"), F.when(mean.isNotNull() & std.isNotNull(), F.struct(mean.alias("mean"), std.alias("std"))).alias("value")))
     task = first_task(c("tasks"), raw.schema["tasks"].dataType) if "tasks" in has else F.lit(None).cast("string")
     length = c("length").cast("bigint") if "length" in has else F.lit(None).cast("bigint")
-    return raw.select(c("episode_index").cast("bigint").alias("episode_index"), length.alias("meta_length"), task.alias("task"), _map(spans, "struct<start:double,end:double>").alias("spans"), _map(stats, "struct<mean:double,std:double>").alias("cameras"))
+    return raw.select(c("episode_index").cast("bigint").alias("episode_index"), length.alias("meta_length"), task.alias("task"), _map(spans, SPAN).alias("spans"), _map(stats, "struct<mean:double,std:double>").alias("cameras"))
 
 
 def _jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
@@ -132,7 +133,7 @@ def episodes_v2(spark: SparkSession, root: str, cameras: list[str]) -> DataFrame
     raw = _jsonl(spark, f"{root}/meta/episodes.jsonl", "episode_index bigint, tasks array<string>, length bigint")
     if raw is None:
         return None
-    rows = raw.select("episode_index", F.col("length").alias("meta_length"), F.get("tasks", F.lit(0)).alias("task"), F.lit(None).cast("map<string,struct<start:double,end:double>>").alias("spans"))
+    rows = raw.select("episode_index", F.col("length").alias("meta_length"), F.get("tasks", F.lit(0)).alias("task"), F.lit(None).cast(f"map<string,{SPAN}>").alias("spans"))
     nested = "array<array<array<double>>>"
     stats = _jsonl(spark, f"{root}/meta/episodes_stats.jsonl", f"episode_index bigint, stats map<string,struct<mean:{nested},std:{nested}>>") if cameras else None
     if stats is None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framewright.dataset import Dataset
+from framewright.dataset import SPAN, Dataset
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +21,7 @@ def _episodes(frames: DataFrame, length=None) -> DataFrame:
     none = F.lit(None)
     return frames.groupBy("episode_index").agg((length if length is not None else F.count("*")).cast("bigint").alias("meta_length")).select(
         "episode_index", "meta_length", none.cast("string").alias("task"),
-        none.cast("map<string,struct<start:double,end:double>>").alias("spans"), none.cast("map<string,struct<mean:double,std:double>>").alias("cameras"),
+        none.cast(f"map<string,{SPAN}>").alias("spans"), none.cast("map<string,struct<mean:double,std:double>>").alias("cameras"),
     )
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import importlib.util
+import os
+from string import Formatter
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,10 +32,10 @@ def thumbnail(gray) -> list[float]:
 
 def decode(path: str, most: int, start: float | None = None, end: float | None = None):
     """Up to `most` evenly spaced samples (t, mean, std, thumb) of a file or of a span of it; None if it can't be decoded."""
-    import av
-    import numpy as np
-
     try:
+        import av
+        import numpy as np
+
         with av.open(path) as box:
             stream = box.streams.video[0]
             low = start or 0.0
@@ -52,7 +54,7 @@ def decode(path: str, most: int, start: float | None = None, end: float | None =
 
 
 def decoded(clips: DataFrame, cfg: Config) -> DataFrame:
-    """SAMPLES of clips (episode_index, camera, path, start, end); a row with failed for those that can't be decoded."""
+    """SAMPLES of clips (episode_index, camera, path, start, end); a row with failed for those that can't be decoded. Files that aren't there are passed over."""
     most = cfg.video_decode_max_samples
 
     def run(batches):
@@ -61,6 +63,8 @@ def decoded(clips: DataFrame, cfg: Config) -> DataFrame:
         for pdf in batches:
             rows = []
             for c in pdf.itertuples(index=False):
+                if not os.path.exists(c.path):
+                    continue
                 none = lambda x: None if x is None or x != x else x
                 got = decode(c.path, most, none(c.start), none(c.end))
                 rows += [(c.episode_index, c.camera, i, *s, False) for i, s in enumerate(got)] if got else [(c.episode_index, c.camera, 0, None, None, None, None, True)]
@@ -70,14 +74,18 @@ def decoded(clips: DataFrame, cfg: Config) -> DataFrame:
 
 
 def clip_paths(ds: Dataset) -> DataFrame:
-    """episode_index, camera, path, start, end of every camera's file, where the dataset is a local folder with a path template."""
+    """episode_index, camera, path, start, end of every camera's file, where the dataset is a local folder with a path template; without those whose place in it isn't known."""
     root, template = ds.video_root, ds.video_path or ""
     cams = F.explode(F.array(*[F.lit(c) for c in ds.camera_names]))
     e = ds.episodes.select("episode_index", cams.alias("camera"), "spans")
     span = F.col("spans")[F.col("camera")]
-    named = template.replace("{video_key}", "%3$s").replace("{episode_chunk:03d}", "%1$03d").replace("{episode_index:06d}", "%2$06d")
-    path = F.format_string(f"{root}/{named}", (F.col("episode_index") / ds.chunks_size).cast("int"), F.col("episode_index").cast("int"), F.col("camera"))
-    return e.select("episode_index", "camera", path.alias("path"), span["start"].alias("start"), span["end"].alias("end"))
+    known = {"episode_index": F.col("episode_index"), "episode_chunk": F.floor(F.col("episode_index") / ds.chunks_size), "chunk_index": span["chunk"], "file_index": span["file"], "video_key": F.col("camera")}
+    parts = [F.lit(f"{root}/")]
+    for text, name, spec, _ in Formatter().parse(template):
+        parts += [F.lit(text)]
+        if name is not None:
+            parts += [F.format_string(f"%{spec or ''}", known[name].cast("bigint")) if spec else known[name].cast("string")]
+    return e.select("episode_index", "camera", F.concat(*parts).alias("path"), span["start"].alias("start"), span["end"].alias("end")).where("path is not null")
 
 
 def _longest(df: DataFrame, on) -> DataFrame:

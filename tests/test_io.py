@@ -14,24 +14,24 @@ from framewright.plans.export import export, merge_arrays
 from framewright.plans.survey import survey, table
 from framewright.sources import episodic, video
 from framewright.streaming import monitor
-from tests.fixtures import DIMS, NAMES, Episode, clean, make, write
+from tests.fixtures import DIMS, FPS, NAMES, TASK, clean, rests, says, take, write
 
 
 @pytest.fixture(scope="module", params=["v3.0", "v2.1"])
 def source(request, tmp_path_factory):
-    eps = [Episode(2 + 0.2 * i, seed=i, lead_s=0.5 if i == 2 else 0, camera=(0.01 if i == 4 else 0.5, 0.01)) for i in range(6)]
+    eps = [take(2 + 0.2 * i, i, *([rests(0.5)] if i == 2 else []), says(camera=(0.01 if i == 4 else 0.5, 0.01))) for i in range(6)]
     return write(tmp_path_factory.mktemp("io") / "src", eps, request.param), eps, request.param
 
 
 def test_load(spark, source):
     root, eps, version = source
     ds = episodic.load(spark, str(root))
-    assert ds.fps == 30 and ds.version == version and ds.action_names == NAMES and ds.camera_names == ["cam"] and not ds.warnings
+    assert ds.fps == FPS and ds.version == version and ds.action_names == NAMES and ds.camera_names == ["wrist"] and not ds.warnings
     f = ds.frames.where("episode_index = 3").orderBy("pos").collect()
-    _, _, action, state = make(eps[3])
+    _, _, action, state = eps[3].frames
     assert np.allclose([r.action for r in f], action, atol=1e-4) and np.allclose([r.state for r in f], state, atol=1e-4)
     e = {r.episode_index: r for r in ds.episodes.collect()}
-    assert e[4].cameras["cam"].mean == pytest.approx(0.01) and e[1].task == "pick" and e[0].meta_length == 60 and (e[0].spans is not None) == (version == "v3.0")
+    assert e[4].cameras["wrist"].mean == pytest.approx(0.01) and e[1].task == TASK and e[0].meta_length == 2 * FPS and (e[0].spans is not None) == (version == "v3.0")
 
 
 def test_only_needed_files_are_read(spark, source, tmp_path):
@@ -41,7 +41,7 @@ def test_only_needed_files_are_read(spark, source, tmp_path):
     for p in sorted((root / "data").rglob("*.parquet"))[1:]:
         p.write_bytes(b"no parquet")
     assert {r[0] for r in episodic.load(spark, str(root), [0]).frames.select("episode_index").distinct().collect()} == {0}
-    assert episodic.load(spark, str(root), max_episodes=1).frames.count() == 60
+    assert episodic.load(spark, str(root), max_episodes=1).frames.count() == 2 * FPS
 
 
 def test_load_errors(spark, source, tmp_path):
@@ -53,14 +53,14 @@ def test_load_errors(spark, source, tmp_path):
 
 def test_sub_columns(spark, tmp_path):
     ds = episodic.load(spark, str(write(tmp_path / "p", clean(2), files=2, parts=True)))
-    assert ds.action_names == [f"{p}.{x}" for p in ("left", "right") for x in "abc"]
+    assert ds.action_names == ["base.d0", "base.d1", "hand.d0", "hand.d1", "hand.d2"]
     assert ds.frames.select(F.max(F.size("action"))).first()[0] == DIMS
 
 
 def test_twice_declared_episodes_go(spark, tmp_path):
     root = write(tmp_path / "t", clean(4), "v2.1")
     with (root / "meta/episodes.jsonl").open("a") as f:
-        f.write(json.dumps({"episode_index": 2, "tasks": ["pick"], "length": 5}) + "\n")
+        f.write(json.dumps({"episode_index": 2, "tasks": [TASK], "length": 5}) + "\n")
     ds = episodic.load(spark, str(root))
     assert {r[0] for r in ds.frames.select("episode_index").distinct().collect()} == {0, 1, 3} and "[2]" in ds.warnings[0]
     with pytest.raises(ValueError, match="more than once"):
@@ -71,25 +71,25 @@ def test_export(spark, source, tmp_path):
     root, eps, version = source
     out = tmp_path / "out"
     r = export(spark, root, out, [0, 2, 3, 5], {2: (10, 50)})
-    assert r.kept == [0, 2, 3, 5] and r.dropped == [1, 4] and r.trimmed_frames == len(make(eps[2])[0]) - 40
+    assert r.kept == [0, 2, 3, 5] and r.dropped == [1, 4] and r.trimmed_frames == len(eps[2].kept) - 40
     ds = episodic.load(spark, str(out))
     f = ds.frames.where("episode_index = 1").orderBy("pos").collect()
     assert len(f) == 40 and [x.frame_index for x in f] == list(range(40)) and abs(f[0].timestamp) < 1e-5
-    assert np.allclose([x.action for x in f], make(eps[2])[2][10:50], atol=1e-4)
+    assert np.allclose([x.action for x in f], eps[2].frames[2][10:50], atol=1e-4)
     index = sorted(i for p in (out / "data").rglob("*.parquet") for i in pq.read_table(p)["index"].to_pylist())
     assert index == list(range(r.frames))
     info = json.loads((out / "meta/info.json").read_text())
     assert info["total_episodes"] == 4 and info["total_frames"] == r.frames and info["splits"] == {"train": "0:4"}
     stats = json.loads((out / "meta/stats.json").read_text())
-    parts = [make(eps[i])[2] for i in (0, 2, 3, 5)]
+    parts = [eps[i].frames[2] for i in (0, 2, 3, 5)]
     parts[1] = parts[1][10:50]
     every = np.concatenate(parts)
     assert np.allclose(stats["action"]["mean"], every.mean(0), atol=1e-3) and np.allclose(stats["action"]["std"], every.std(0), atol=1e-3) and stats["action"]["count"] == [len(every)]
-    assert np.allclose(np.ravel(stats["cam"]["mean"]), [0.5] * 3) and stats["cam"]["count"] == [40]
+    assert np.allclose(np.ravel(stats["wrist"]["mean"]), [0.5] * 3) and stats["wrist"]["count"] == [40]
     e = {x.episode_index: x for x in ds.episodes.collect()}
     assert e[1].meta_length == 40
     if version == "v3.0":
-        assert e[1].spans["cam"]["end"] - e[1].spans["cam"]["start"] == pytest.approx(40 / 30)
+        assert e[1].spans["wrist"]["end"] - e[1].spans["wrist"]["start"] == pytest.approx(40 / FPS)
         assert pq.read_schema(next((out / "data").rglob("*.parquet"))).field("timestamp").type == "float"
     else:
         assert sorted(p.name for p in (out / "data").rglob("*.parquet")) == [f"episode_{i:06d}.parquet" for i in range(4)]
@@ -119,13 +119,16 @@ def test_merged_statistics():
 
 def test_command_line(spark, source, tmp_path, capsys):
     root = str(source[0])
+    few = [x for c in ("timing", "integrity", "idle", "smoothness", "stale_state", "sync", "gripper_chatter", "length", "duplicate") for x in ("--disable-check", c)]
     assert cli.main(["score", root, "--json", str(tmp_path / "r.json"), "--csv", str(tmp_path / "r.csv"), "--md", str(tmp_path / "r.md"), "--episodes", "0-5"], spark) == 0
-    assert "6 episodes" in capsys.readouterr().out and (tmp_path / "r.md").exists()
-    assert cli.main(["score", root, "--quiet", "--fail-under", "101"], spark) == 1
+    assert "6 episodes" in capsys.readouterr().out and (tmp_path / "r.md").exists() and (tmp_path / "r.csv").exists()
+    assert cli.main(["score", root, "--quiet", "--fail-under", "101", *few], spark) == 1
     assert cli.main(["score", str(tmp_path / "nowhere")], spark) == 2
     assert cli.main(["export", root, "-o", str(tmp_path / "o"), "--keep-from", str(tmp_path / "r.json")], spark) == 0
+    with pytest.raises(SystemExit):
+        cli.main(["export", root, "-o", str(tmp_path / "o2")], spark)
     assert cli.main(["dedupe", root], spark) == 0 and cli.main(["push-report", root], spark) == 2
-    assert cli.main(["push-report", root, "--dry-run", "-o", str(tmp_path / "push")], spark) == 0 and (tmp_path / "push/quality.md").exists()
+    assert cli.main(["push-report", root, "--dry-run", "-o", str(tmp_path / "push"), *few], spark) == 0 and (tmp_path / "push/quality.md").exists()
 
 
 def test_survey(spark, source):
@@ -168,6 +171,29 @@ def test_dark_and_frozen_runs(spark):
     assert len(video.thumbnail(np.zeros((64, 48)))) == 32 * 32 and video.thumbnail([[0.0, 1.0]]) == [0.0, 1.0]
 
 
+def test_clip_paths(spark, source):
+    root, eps, version = source
+    cfg = Config()
+    ds = episodic.load(spark, str(root))
+    got = {r.episode_index: r for r in video.clip_paths(ds).collect()}
+    v3 = version == "v3.0"
+    assert got[4].path == f"{root}/videos/" + ("wrist/chunk-000/file-002.mp4" if v3 else "chunk-000/wrist/episode_000004.mp4")
+    assert (got[1].start is not None) == v3 and len(got) == 6
+    assert video.decoded(video.clip_paths(ds), cfg).count() == 0  # files that aren't there are passed over
+    (root / "videos").mkdir()
+    try:
+        path = got[4].path
+        import pathlib
+        import shutil
+
+        pathlib.Path(path).parent.mkdir(parents=True)
+        pathlib.Path(path).write_bytes(b"no video")
+        broken = video.decoded(video.clip_paths(ds), cfg).collect()
+        assert broken and all(r.failed for r in broken) and 4 in {r.episode_index for r in broken}
+    finally:
+        shutil.rmtree(root / "videos")
+
+
 def test_stream_agrees_with_table(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     events.write.parquet(str(tmp_path / "in"))

@@ -11,16 +11,14 @@ from framewright.operators import signals as S
 from framewright.plans import report as R
 from framewright.plans.score import evaluate
 from framewright.sources import episodic
-from tests.fixtures import FPS, Episode, clean, make, write
+from tests.fixtures import DIMS, FPS, TASK, chatters, clean, hole, lags, loses, rests, says, spike, stale, stuck, take, write
 
 
 @pytest.fixture(scope="module")
 def scored(spark, tmp_path_factory):
     """Twenty episodes, of which 12 to 19 have a defect each."""
-    eps = clean(12) + [
-        Episode(8, 20, lead_s=1.5, trail_s=1.0), Episode(8, 21, spikes=[100]), Episode(8, 22, drop=list(range(60, 66))), Episode(8, 23, nan_at=50),
-        Episode(8, 24, lag=7), Episode(8, 25, stale_from=60), Episode(8, 26, frozen=True), Episode(8, 27, chatter_at=40, declared=99, span_s=5.0, camera=(0.01, 0.01)), clean(12)[8],
-    ]
+    spoilt = [[rests(1.5, 1.0)], [spike(100)], [loses(*range(60, 66))], [hole(50)], [lags(7)], [stale(60)], [stuck()], [chatters(40), says(length=99, span=5.0, camera=(0.01, 0.01))]]
+    eps = clean(12) + [take(8, 200 + i, *defects) for i, defects in enumerate(spoilt)] + [clean(12)[8]]
     ds = episodic.load(spark, str(write(tmp_path_factory.mktemp("scored") / "d", eps)))
     return ds, evaluate(ds), eps
 
@@ -30,7 +28,7 @@ def flagged(scored, check, text=""):
 
 
 @pytest.mark.parametrize("check,text,who", [
-    ("timing", "dropped", {14}), ("metadata", "says 99", {19}), ("integrity", "action (1 frame", {15}), ("video_sync", "cam 5.00s", {19}), ("camera", "near-black", {19}),
+    ("timing", "dropped", {14}), ("metadata", "says 99", {19}), ("integrity", "action (1 frame", {15}), ("video_sync", "wrist 5.00s", {19}), ("camera", "near-black", {19}),
     ("idle", "idle at start/end", {12}), ("idle", "no motion", {18}), ("smoothness", "spike", {13}), ("stale_state", "frozen on", {17}), ("gripper_chatter", "toggled", {19}), ("sync", "lag is 7", {16}), ("duplicate", "exact duplicate of episode 8", {20}),
 ])
 def test_flags(scored, check, text, who):
@@ -43,7 +41,7 @@ def test_metrics_and_scores(scored):
     assert r[14].dropped_frames == 6 and r[13].spikes == 1 and r[16].sync_lag_frames == 7 and abs(r[12].lead_idle_s - 1.5) < 0.15
     start, end = r[12].trim_start, r[12].trim_end
     assert start is not None and 0 < start < end < r[12].length
-    assert r[18].score <= 40 and all(r[i].score >= 80 for i in range(12)) and all(x.task == "pick" for x in r.values())
+    assert r[18].score <= 40 and all(r[i].score >= 80 for i in range(12)) and all(x.task == TASK for x in r.values())
     for x in r.values():
         assert abs(x.score - max(0.0, 100 - sum(f.penalty for f in x.flags))) < 1e-9
         assert [f.ord for f in x.flags] == sorted(f.ord for f in x.flags)
@@ -51,11 +49,11 @@ def test_metrics_and_scores(scored):
 
 def test_scale_and_steps_like_numpy(scored):
     ds, s, eps = scored
-    a = [make(e)[2].astype(np.float32).astype(float) if i < 7 else make(e)[2] for i, e in enumerate(eps)]
+    a = [e.frames[2].astype(np.float32).astype(float) if i < 7 else e.frames[2] for i, e in enumerate(eps)]
     q75, q25 = np.nanpercentile(np.concatenate(a), [75, 25], axis=0)
     assert np.allclose([x or 0 for x in s.context.scale], (q75 - q25) / 1.349, rtol=1e-6)
     steps = np.concatenate([np.abs(np.diff(x, axis=0)) for x in a]) / np.array(s.context.scale)
-    assert np.allclose(s.context.step_p99[:5], np.nanpercentile(steps, 99, axis=0)[:5], rtol=1e-5) and s.context.step_p99[5] is None
+    assert np.allclose(s.context.step_p99[: DIMS - 1], np.nanpercentile(steps, 99, axis=0)[: DIMS - 1], rtol=1e-5) and s.context.step_p99[-1] is None
 
 
 def test_disabled_checks_are_not_planned(scored):
@@ -76,7 +74,7 @@ def test_report(scored, tmp_path):
     assert R.load(tmp_path / "r.json", 21, report["dataset"]["frames"]) == report
     with pytest.raises(ValueError):
         R.load(tmp_path / "r.json", 20, 1)
-    R.write_csv(report, tmp_path / "r.csv")
+    R.write_csv(s, tmp_path / "r.csv")
     assert (tmp_path / "r.csv").read_text().startswith("episode_index,score,length,duration_s,trim_start,trim_end,flags,") and len((tmp_path / "r.csv").read_text().splitlines()) == 22
     assert "| idle |" in R.markdown(report) and "exact duplicates: 8, 20" in R.terminal(report)
     assert R.escape("a|b\nc") == "a\\|b c" and "brightgreen" in R.badge(95) and "yellow" in R.badge(75) and "red" in R.badge(10)
@@ -135,4 +133,4 @@ def test_empty_and_tiny(spark):
 
 
 def test_sampling_rate_of_fixture():
-    assert len(make(Episode(2.0))[0]) == 2 * FPS
+    assert len(take(2.0).kept) == 2 * FPS
