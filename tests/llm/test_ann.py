@@ -83,3 +83,27 @@ def test_few_rows_empty_and_clashing_columns(spark):
     df = spark.createDataFrame([(0, [1.0], 9, "a"), (3, [2.0], 8, "b")], "vec_id long, embedding array<float>, rank int, score string")
     assert [tuple(r) for r in A.search(df, lambda i: i == 0).collect()] == [(0, 1, 3, 1.0)]
     assert A.search(df.limit(0), lambda i: i == 0).count() == 0
+
+
+def test_share_verified_on_test_table():
+    import pyarrow.parquet as pq
+
+    t = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")
+    ids, v = t["vec_id"].to_numpy(), np.array(t["embedding"].to_pylist(), dtype=np.float64)
+    matrix = A.projections(v.shape[1], A.PROJECTIONS)
+    index, quantile = A.Index(ids, v, matrix, 10), A.chi2_quantile(A.SURE, A.PROJECTIONS)
+    shares = [index.search(i, x, x @ matrix, quantile)[2] / len(ids) for i, x in zip(ids, v) if i % 100 == 0]
+    assert np.mean(shares) < 0.5
+
+
+def test_rows_come_in_projected_order():
+    rng = np.random.default_rng(2)
+    data = rng.normal(size=(3000, 16))
+    matrix = A.projections(16, 6)
+    index, seen = A.Index(np.arange(3000), data, matrix, 10, leaf=16), []
+    real = index._verified
+    index._verified = lambda i, q, rows, *best: (seen.extend(rows.tolist()), real(i, q, rows, *best))[1]
+    index.search(-1, data[5], data[5] @ matrix, 4.0)
+    apart = ((index.points - data[5] @ matrix) ** 2).sum(axis=1)
+    assert 10 < len(seen) < 3000 and set(seen) == set(np.argsort(apart, kind="stable")[: len(seen)].tolist())
+    assert np.all(np.diff(apart[seen]) >= 0)
