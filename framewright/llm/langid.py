@@ -27,10 +27,10 @@ _letters: list[np.ndarray] = []
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """For every code point below 0x30000: its lower case (one code point) if it is a letter, else 0."""
+    """For every code point below 0x33000: its lower case (one code point) if it is a letter, else 0."""
     if not _letters:
-        table = np.zeros(0x30000, dtype=np.uint32)
-        for i in range(0x30000):
+        table = np.zeros(0x33000, dtype=np.uint32)
+        for i in range(0x33000):
             c = chr(i)
             if c.isalpha():
                 low = c.lower()

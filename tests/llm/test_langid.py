@@ -61,3 +61,16 @@ def test_tables(spark):
     none = L.train(docs.limit(0), lambda i: F.lit(True))
     assert {r.lang_pred for r in L.identify(docs, none).collect()} == {"und"}
     assert L.identify(docs.limit(0), model).count() == 0
+
+
+def test_letters_of_all_planes():
+    import sys
+    import unicodedata
+
+    from framewright.llm import langid
+
+    table = langid._tables()
+    for i in range(sys.maxunicode + 1):
+        if not 0xD800 <= i < 0xE000:
+            letter = table[min(i, len(table) - 1)] > 0
+            assert letter == unicodedata.category(chr(i)).startswith("L") or i < 0x300, hex(i)
