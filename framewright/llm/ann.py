@@ -26,7 +26,7 @@ from framewright.llm.common import read, stage, trimmed
 
 #: Projections; probability of the stopping test; rows of a block; rows of a leaf; rows verified between two tests.
 #: More projections stop earlier on vectors that lie about equally far from each other (README has figures).
-PROJECTIONS, SURE, BLOCK_ROWS, LEAF_ROWS, STEP = 32, 0.93, 16_384, 256, 16
+PROJECTIONS, SURE, BLOCK_ROWS, LEAF_ROWS, STEP = 32, 0.93, 16_384, 256, 32
 #: Values of query vectors that are sent to the tasks at once (32 MB as doubles).
 QUERY_VALUES = 4_000_000
 FOUND = "query_id long, vec_id long, score double"
