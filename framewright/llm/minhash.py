@@ -248,11 +248,38 @@ def parities(x: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def size_class(similarity: float):
+    """Class of a set's size n, 0 to 62: sets of the similarity are in the same class or in neighbouring ones."""
+    return F.least(F.floor(F.log("n") / float(max(-np.log(similarity), 1e-6) * (1 + 1e-9))), F.lit(62)).cast("int")
+
+
+def sizes_at(first: DataFrame) -> DataFrame:
+    """For each shingle, as bits: size classes that have it, those in which several components do, those in which a set has it early enough to be the smaller of a pair."""
+    bit = F.expr("shiftleft(1L, size)")
+    by_size = first.groupBy("shingle", "size").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.bool_or("early").alias("early"))
+    none = F.lit(0).cast("long")
+    return by_size.groupBy("shingle").agg(
+        F.bit_or(bit).alias("held"), F.bit_or(F.when(F.col("lo") < F.col("hi"), bit).otherwise(none)).alias("twice"), F.bit_or(F.when(F.col("early"), bit).otherwise(none)).alias("led")
+    )
+
+
+def partnered():
+    """Whether another component may have a set that fits the row's at its shingle.
+
+    The smaller set of a pair has the shingle early; the larger one is of its class or the next. What this leaves
+    out, the test of the pair would exclude.
+    """
+    return F.expr(
+        "(early and (twice & shiftleft(1L, size) | held & shiftleft(1L, size + 1)) <> 0)"
+        " or (led & (shiftleft(1L, size) | shiftright(shiftleft(1L, size), 1))) <> 0 and (not early or twice & shiftleft(1L, size) <> 0 or led & shiftright(shiftleft(1L, size), 1) <> 0)"
+    )
+
+
 def unresolved(members: DataFrame, roots: DataFrame | None, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of nodes of different components, in buckets with several ones, that sizes, prefixes and parities don't exclude.
 
     At a shingle, all that is outside of its most frequent component is paired; so a large component isn't
-    paired with itself. What follows the first common shingle bounds how many can be common; the bits in which
+    paired with itself. Rows without a partner of a fitting size are left out before. What follows the first common shingle bounds how many can be common; the bits in which
     the parities differ, how many are not.
     """
     rooted = members.select("bucket", "node", F.col("node").alias("root"))
@@ -261,9 +288,10 @@ def unresolved(members: DataFrame, roots: DataFrame | None, sets: DataFrame, sim
     open_ = rooted.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("bucket")
     nodes = stage(rooted.join(stage(open_, "near-buckets"), "bucket").select("node", "root").distinct(), "near-open")
     first = prefixes(nodes, sets, similarity)
+    first = first.withColumn("size", size_class(similarity)).withColumn("early", (F.col("n") - F.col("at")) * (1 + similarity) >= 2 * similarity * F.col("n") - 1e-6)
     top = first.groupBy("shingle", "root").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("c"), F.count("*").alias("k")).where("k > 1")
     top = top.select("shingle", F.col("m.root").alias("most"), F.ceil((F.col("c") - F.col("m.c")) / F.lit(PER_SHINGLE)).cast("int").alias("_n"))
-    both = stage(first.join(top, "shingle"), "near-shared")
+    both = stage(first.join(top.join(sizes_at(first), "shingle"), "shingle").where(partnered()).drop("size", "early", "held", "twice", "led"), "near-shared")
     x = both.where("root <> most").withColumn("_salt", F.pmod(F.xxhash64("node"), F.col("_n")).cast("int")).select("shingle", "_salt", "most", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("at").alias("i"), F.col("n").alias("na"), *[F.col(m).alias(f"a_{m}") for m in MARKS])
     y = both.select("shingle", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_salt"), F.col("node").alias("b"), F.col("root").alias("rb"), F.col("at").alias("j"), F.col("n").alias("nb"), *[F.col(m).alias(f"b_{m}") for m in MARKS])
     fits = (F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-6) & (F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j")) * (1 + similarity) >= similarity * (F.col("na") + F.col("nb")) - 1e-6)
