@@ -7,10 +7,12 @@ arrival is later than every register of its document. Links are promised by the
 whatever the counts, so documents are sketched with weights of 1, for which both similarities are the same.
 
 Texts with the same words are one node from the start, however many rows have them. Nodes of a band's bucket
-are compared with a leader of the bucket; verified pairs are links, linked nodes a component. The nodes of
-buckets that still hold several components are then joined exactly: of two sets of the least similarity, those
-shingles that come first in any one order hold a common one. The order is by how many nodes have a shingle, so
-that what a family of texts shares comes last.
+are compared with a leader of the bucket; verified pairs are links, linked nodes a component. Where a bucket
+still holds several components, none of its pairs is left open. In a bucket of at most SMALL nodes, each node
+meets the others, and sizes and parities exclude what they can. The nodes of larger buckets, whose pairs grow
+with the square, are joined by prefixes: of two sets of the least similarity, those shingles that come first in
+any one order hold a common one. The order is by how many nodes have a shingle, so that what a family of texts
+shares comes last.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from framewright.llm.common import WORDED, Words, _BASE, binaries, chunks, lists
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 4
 #: Links of a node that share a copy of its shingles.
 PER_COPY = 256
+#: Nodes of a bucket that meet each other; more are joined by prefixes.
+SMALL = 32
 #: Shingles of more nodes are frequent; nodes of a shingle's prefixes that are compared with the others at once.
 FREQUENT, PER_SHINGLE = 1, 256
 #: Ids that may be broadcast (16 MB); more are joined by a shuffle.
@@ -275,18 +279,48 @@ def partnered():
     )
 
 
-def unresolved(members: DataFrame, roots: DataFrame | None, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes of different components, in buckets with several ones, that sizes, prefixes and parities don't exclude.
+def sizes_fit(similarity: float):
+    return F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-6
+
+
+def parities_fit(similarity: float):
+    """The bits in which the parities differ bound how many shingles aren't common."""
+    apart = reduce(lambda s, c: s + c, [F.bit_count(F.col(f"a_{m}").bitwiseXOR(F.col(f"b_{m}"))) for m in MARKS])
+    return apart * (1 + similarity) <= (1 - similarity) * (F.col("na") + F.col("nb")) + 1e-6
+
+
+def marked(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """node, n and parities of the sets of the nodes."""
+
+    def run(batches):
+        for batch in batches:
+            found = [np.frombuffer(raw, np.uint32) for raw in batch.column(1).to_pylist()]
+            marks = np.array([parities(x) for x in found], dtype=np.int64).reshape(-1, len(MARKS))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int32()), *(pa.array(m) for m in marks.T)], names=["node", "n", *MARKS])
+
+    own = (F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes).join(sets, "node").select("node", "shingles")
+    return stage(own.mapInArrow(trimmed(run), "node long, n int, " + ", ".join(f"{m} long" for m in MARKS)), "near-marks")
+
+
+def within(rooted: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes of different components in a bucket that sizes and parities don't exclude.
+
+    For buckets of a bounded number of nodes: a row meets no more rows than that.
+    """
+    rows = rooted.join(marked(rooted.select("node").distinct(), sets), "node")
+    rows = stage(rows, "near-rows")
+    side = lambda c: rows.select("bucket", F.col("node").alias(c), F.col("root").alias(f"r{c}"), F.col("n").alias(f"n{c}"), *[F.col(m).alias(f"{c}_{m}") for m in MARKS])
+    pairs = side("a").join(side("b"), "bucket").where((F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb")) & sizes_fit(similarity) & parities_fit(similarity))
+    return pairs.select("a", "b").distinct()
+
+
+def across(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes (node, root) of different components that sizes, prefixes and parities don't exclude.
 
     At a shingle, all that is outside of its most frequent component is paired; so a large component isn't
-    paired with itself. Rows without a partner of a fitting size are left out before. What follows the first common shingle bounds how many can be common; the bits in which
-    the parities differ, how many are not.
+    paired with itself. Rows without a partner of a fitting size are left out before. What follows the first
+    common shingle bounds how many can be common.
     """
-    rooted = members.select("bucket", "node", F.col("node").alias("root"))
-    if roots is not None:
-        rooted = members.select("bucket", "node").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    open_ = rooted.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("bucket")
-    nodes = stage(rooted.join(stage(open_, "near-buckets"), "bucket").select("node", "root").distinct(), "near-open")
     first = prefixes(nodes, sets, similarity)
     first = first.withColumn("size", size_class(similarity)).withColumn("early", (F.col("n") - F.col("at")) * (1 + similarity) >= 2 * similarity * F.col("n") - 1e-6)
     top = first.groupBy("shingle", "root").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("c"), F.count("*").alias("k")).where("k > 1")
@@ -294,11 +328,22 @@ def unresolved(members: DataFrame, roots: DataFrame | None, sets: DataFrame, sim
     both = stage(first.join(top.join(sizes_at(first), "shingle"), "shingle").where(partnered()).drop("size", "early", "held", "twice", "led"), "near-shared")
     x = both.where("root <> most").withColumn("_salt", F.pmod(F.xxhash64("node"), F.col("_n")).cast("int")).select("shingle", "_salt", "most", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("at").alias("i"), F.col("n").alias("na"), *[F.col(m).alias(f"a_{m}") for m in MARKS])
     y = both.select("shingle", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_salt"), F.col("node").alias("b"), F.col("root").alias("rb"), F.col("at").alias("j"), F.col("n").alias("nb"), *[F.col(m).alias(f"b_{m}") for m in MARKS])
-    fits = (F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-6) & (F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j")) * (1 + similarity) >= similarity * (F.col("na") + F.col("nb")) - 1e-6)
-    apart = reduce(lambda s, c: s + c, [F.bit_count(F.col(f"a_{m}").bitwiseXOR(F.col(f"b_{m}"))) for m in MARKS])
-    fits = fits & (apart * (1 + similarity) <= (1 - similarity) * (F.col("na") + F.col("nb")) + 1e-6)
+    fits = sizes_fit(similarity) & (F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j")) * (1 + similarity) >= similarity * (F.col("na") + F.col("nb")) - 1e-6)
     once = (F.col("rb") == F.col("most")) | (F.col("a") < F.col("b"))
-    return x.join(y, ["shingle", "_salt"]).where((F.col("ra") != F.col("rb")) & once & fits).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    found = x.join(y, ["shingle", "_salt"]).where((F.col("ra") != F.col("rb")) & once & fits & parities_fit(similarity))
+    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def unresolved(members: DataFrame, roots: DataFrame | None, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes of different components, in buckets with several ones, that aren't excluded: none is left open."""
+    rooted = members.select("bucket", "node", F.col("node").alias("root"))
+    if roots is not None:
+        rooted = members.select("bucket", "node").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    open_ = rooted.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("k")).where("r0 < r1")
+    rooted = stage(rooted.join(stage(open_.select("bucket", "k"), "near-buckets"), "bucket"), "near-open")
+    few = within(rooted.where(F.col("k") <= SMALL).drop("k"), sets, similarity)
+    large = stage(rooted.where(F.col("k") > SMALL).select("node", "root").distinct(), "near-open")
+    return few.unionByName(across(large, sets, similarity)).distinct() if large.limit(1).count() else few
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -3,10 +3,11 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from framewright.llm import minhash as M
 from framewright.llm.common import utf8
-import pyarrow as pa
 
 
 def words(text):
@@ -129,12 +130,17 @@ def family(rng, n, pairs):
     return texts
 
 
-def test_pairs_within_a_family_of_alike_texts(spark):
+@pytest.mark.parametrize("small", [0, 32, 10**6])
+def test_pairs_within_a_family_of_alike_texts(spark, monkeypatch, small):
+    """By prefixes, by both ways, and by meeting."""
+    monkeypatch.setattr(M, "SMALL", small)
     rows = list(enumerate(family(random.Random(5), 400, 1)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute(rows)
     assert sum(r[2] > 1 for r in want) == 2
     assert sorted((tuple(r) for r in M.classes(df, bands=4, rows=1).collect()), key=str) == want
+    if small == 32:
+        assert sorted((tuple(r) for r in M.classes(df).collect()), key=str) == want
 
 
 def test_pairs_whose_counts_differ(spark):
