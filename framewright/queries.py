@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framewright.config import Config
-from framewright.functions.scalars import MAD, TINY, finite, numbers, robust_z, sure, wrap
+from framewright.functions.scalars import MAD, finite, numbers, sure, wrap
 from framewright.operators import checks as C
 from framewright.operators import context as X
 from framewright.operators import duplicates as D
@@ -114,29 +114,38 @@ def idle_speed(spark, sf_dir):
     return X.speeds(ds, ctx).agg(_r(CFG.idle_fraction_of_p75 * F.percentile("speed", 0.75)).alias("idle_speed"))
 
 
-@query(f"""WITH m AS (SELECT l_linenumber AS dim, exp(stddev_pop(l_extendedprice) / 20000e0 * (1 + CASE WHEN l_linenumber = 7 THEN 9 ELSE 0 END)) AS p FROM lineitem GROUP BY 1),
-l AS (SELECT dim, ln(p) AS x FROM m), c AS (SELECT median(x) AS mid FROM l), s AS (SELECT {MAD}e0 * median(abs(x - mid)) AS mad FROM l, c)
-SELECT CAST(dim AS BIGINT) AS dim, round(x, {R}) AS log_step, (SELECT count(*) FROM l) >= 5 AND mad >= 1e-9 AND abs((x - mid) / mad) > 4 AS excluded FROM l, c, s""")
-def dim_outliers(spark, sf_dir):
-    """The rule that leaves out dimensions far from the others, on line numbers as dimensions."""
-    li = T.table(spark, sf_dir, "lineitem")
-    x = (F.stddev_pop("l_extendedprice") / F.lit(20000.0)) * (1 + F.when(F.col("dim") == 7, 9).otherwise(0))
-    d = C.with_robust(li.groupBy(F.col("l_linenumber").alias("dim")).agg(x.alias("x")), "x")
-    z = robust_z(F.col("x"), F.col("_median"), F.col("_mad"))
-    return d.select(*_long("dim"), _r("x").alias("log_step"), ((F.col("_count") >= 5) & (F.col("_mad") * MAD >= TINY) & (F.abs(z) > 4)).alias("excluded"))
+_LO = lambda c: f"""l{c} AS (SELECT dim, ln({c}) AS x FROM m), c{c} AS (SELECT median(x) AS mid FROM l{c}), s{c} AS (SELECT {MAD}e0 * median(abs(x - mid)) AS mad FROM l{c}, c{c}),
+z{c} AS (SELECT dim, CASE WHEN mad >= 1e-9 AND (SELECT count(*) FROM m) >= 5 THEN (x - mid) / mad ELSE 0 END AS z FROM l{c}, c{c}, s{c})"""
 
 
-@query(_sql(_SP, f"""SELECT ep AS episode_index, round(stale, {R}) AS stale_state_fraction, round(median(stale) OVER (), {R}) AS baseline FROM (
-SELECT g.ep, avg(CAST(same AND sp.speed > greatest(idle_speed, 1e-9) * 5e-1 AS DOUBLE)) AS stale FROM (SELECT ep, pos - 1 AS t, s = lag(s) OVER (PARTITION BY ep ORDER BY pos) AS same FROM (SELECT ep, pos, [floor(y[1] / 25e0), floor(y[3] * 20e0)] AS s FROM (SELECT ep, pos, a AS y FROM f))) g JOIN sp ON sp.ep = g.ep AND sp.t = g.t, ctx GROUP BY g.ep)"""))
+@query(f"""WITH m AS (SELECT l_linenumber AS dim, exp(stddev_pop(l_extendedprice) / 20000e0 * (1 + CASE WHEN l_linenumber = 7 THEN 9 ELSE 0 END)) AS p,
+exp(-stddev_pop(l_extendedprice) / 20000e0 * (1 + CASE WHEN l_linenumber = 2 THEN 9 ELSE 0 END)) AS w FROM lineitem GROUP BY 1),
+{_LO("p")}, {_LO("w")}
+SELECT CAST(dim AS BIGINT) AS dim, CASE WHEN abs(zp.z) <= 4 AND zw.z >= -4 AND dim <> 4 THEN round(p, {R}) END AS usable_step FROM m JOIN zp USING (dim) JOIN zw USING (dim)""")
+def dim_outliers(spark, sf_dir):
+    """Line numbers as dimensions: 7 has steps far from the others', 2 a scale far below them, 4 is a gripper."""
+    by = T.table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("dim")).agg((F.stddev_pop("l_extendedprice") / F.lit(20000.0)).alias("x"))
+    at = lambda d: 1 + F.when(F.col("dim") == d, 9).otherwise(0)
+    rows = by.select(*_long("dim"), F.exp(F.col("x") * at(7)).alias("p"), F.exp(-F.col("x") * at(2)).alias("w")).orderBy("dim").collect()  # seven
+    grippers = [i for i, r in enumerate(rows) if r.dim == 4]
+    usable = X.usable_steps([r.p for r in rows], [r.w for r in rows], grippers, Config().smoothness_dim_outlier_z)
+    out = spark.createDataFrame([(r.dim, u) for r, u in zip(rows, usable, strict=True)], "dim bigint, step double")
+    return out.select("dim", _r("step").alias("usable_step"))
+
+
+@query(_sql(_SP, f"""SELECT episode_index, round(stale, {R}) AS stale_state_fraction, round(base, {R}) AS baseline, CASE WHEN stale - base > {CFG.stale_state_max_fraction}e0 THEN round(least(30e0, 100 * (stale - base - {CFG.stale_state_max_fraction}e0) + 10), 4) ELSE 0e0 END AS penalty FROM (SELECT ep AS episode_index, stale, median(stale) OVER () AS base FROM (
+SELECT g.ep, avg(CAST(same AND sp.speed > greatest(idle_speed, 1e-9) * 5e-1 AS DOUBLE)) AS stale FROM (SELECT ep, pos - 1 AS t, s = lag(s) OVER (PARTITION BY ep ORDER BY pos) AS same FROM (SELECT ep, pos, [floor(y[1] / 25e0), floor(y[3] * 20e0)] AS s FROM (SELECT ep, pos, a AS y FROM f))) g JOIN sp ON sp.ep = g.ep AND sp.t = g.t, ctx GROUP BY g.ep))"""))
 def stale_check(spark, sf_dir):
     """States coarse enough to repeat, and a tenth of the usual speed limit."""
     from dataclasses import replace
 
     ds, ctx = _supp(spark, sf_dir)
     frames = ds.frames.withColumn("state", F.array(F.floor(F.get("action", F.lit(0)) / 25.0).cast("double"), F.floor(F.get("action", F.lit(2)) * 20.0).cast("double")))
-    d = X.stale_fractions(ds.with_frames(frames), replace(ctx, idle_speed=ctx.idle_speed / 10))
-    m = d.agg(F.median("stale_state_fraction").alias("b"))
-    return d.join(F.broadcast(m)).select("episode_index", _r("stale_state_fraction").alias("stale_state_fraction"), _r("b").alias("baseline"))
+    ds = ds.with_frames(frames)
+    ctx = replace(ctx, **X.motion(ds, ctx, CFG.override(idle_fraction_of_p75=CFG.idle_fraction_of_p75 / 10)))
+    m, flags = C.stale_state(ds, ctx, CFG)
+    m = m.join(flags.select("episode_index", "penalty"), "episode_index", "left")
+    return m.select("episode_index", _r("stale_state_fraction").alias("stale_state_fraction"), F.round(F.lit(ctx.stale_baseline), R).alias("baseline"), F.coalesce(_r("penalty", 4), F.lit(0.0)).alias("penalty"))
 
 
 # ---- timing, metadata, integrity, spans, cameras ------------------------------------------------------------
@@ -155,22 +164,29 @@ def timing_check(spark, sf_dir):
     return m.join(p, "episode_index", "left").select("episode_index", *_long("dropped_frames"), _r("dropped_fraction").alias("dropped_fraction"), _r("max_gap_s", 3).alias("max_gap_s"), *_long("non_monotonic_steps"), _r(F.coalesce("p", F.lit(0.0))).alias("penalty"))
 
 
-@query("""WITH c AS (SELECT conv_id AS ep, turn FROM conversations WHERE turn % 5 <> 3), g AS (SELECT ep, turn - lag(turn) OVER (PARTITION BY ep ORDER BY turn) AS step FROM c)
-SELECT ep AS episode_index, count(*) AS length, CAST(coalesce(sum(greatest(step - 1, 0)), 0) AS BIGINT) AS frame_index_missing FROM g GROUP BY ep""")
-def frame_index_gaps(spark, sf_dir):
-    """Turns of conversations as frames, with every fifth taken out."""
+def _turns(spark, sf_dir):
+    """Turns of conversations as frames, a second each, with every fifth taken out; every tenth conversation is declared a turn longer."""
     f = T.conversations(spark, sf_dir).where("frame_index % 5 <> 3")
-    w = Window.partitionBy("episode_index").orderBy("frame_index")
-    f = f.select("episode_index", (F.col("frame_index") - F.lag("frame_index").over(w)).alias("step"))
-    return f.groupBy("episode_index").agg(F.count("*").alias("length"), F.coalesce(F.sum(F.greatest(F.col("step") - 1, F.lit(0))), F.lit(0)).cast("bigint").alias("frame_index_missing"))
+    f = f.withColumn("pos", F.row_number().over(Window.partitionBy("episode_index").orderBy("frame_index")) - 1).withColumn("timestamp", F.col("pos").cast("double"))
+    episodes = f.groupBy("episode_index").agg(F.count("*").alias("n")).select("episode_index", (F.col("n") + F.when(F.col("episode_index") % 10 == 0, 1).otherwise(0)).alias("meta_length"))
+    return T.Dataset(f, episodes, 1.0)
 
 
-@query("""SELECT doc_id AS episode_index, CAST(n_chars - CASE WHEN doc_id % 10 = 0 THEN 1 ELSE 0 END AS BIGINT) AS meta_length, CAST(length(text) AS BIGINT) AS length, 20e0 AS penalty
-FROM documents WHERE n_chars - CASE WHEN doc_id % 10 = 0 THEN 1 ELSE 0 END <> length(text)""")
+@query("""WITH c AS (SELECT conv_id AS ep, turn FROM conversations WHERE turn % 5 <> 3), g AS (SELECT ep, turn - lag(turn) OVER (PARTITION BY ep ORDER BY turn) AS step FROM c),
+m AS (SELECT ep, CAST(coalesce(sum(greatest(step - 1, 0)), 0) AS BIGINT) AS missing FROM g GROUP BY ep HAVING count(*) >= 2)
+SELECT ep AS episode_index, missing AS frame_index_missing, CASE WHEN missing > 0 THEN 10e0 ELSE 0e0 END AS penalty FROM m""")
+def frame_index_gaps(spark, sf_dir):
+    m, flags = C.timing(_turns(spark, sf_dir), None, Config())
+    m = m.join(flags.select("episode_index", "penalty"), "episode_index", "left")
+    return m.select("episode_index", *_long("frame_index_missing"), F.coalesce("penalty", F.lit(0.0)).alias("penalty"))
+
+
+@query("""SELECT conv_id AS episode_index, 'metadata says ' || (count(*) + 1) || ' frames, data has ' || count(*) AS message, 20e0 AS penalty
+FROM conversations WHERE turn % 5 <> 3 AND conv_id % 10 = 0 GROUP BY 1""")
 def metadata_check(spark, sf_dir):
-    """Declared and counted lengths, of documents; every tenth is declared a character short."""
-    d = T.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("episode_index"), (F.col("n_chars") - F.when(F.col("doc_id") % 10 == 0, 1).otherwise(0)).cast("bigint").alias("meta_length"), F.length("text").cast("bigint").alias("length"))
-    return d.where("meta_length <> length").withColumn("penalty", F.lit(20.0))
+    """Declared and counted lengths."""
+    _, flags = C.metadata(_turns(spark, sf_dir), None, Config())
+    return flags.select("episode_index", "message", "penalty")
 
 
 @query(_sql(_F, "SELECT ep AS episode_index, count(*) AS bad_frames, 60e0 AS penalty FROM f WHERE a[1] = 50 OR a[4] = 0 GROUP BY ep"))
@@ -255,6 +271,15 @@ def bridged_jumps(spark, sf_dir):
     return S.spikes_and_jumps(ds, ctx, CFG).select("episode_index", *_long("spikes", "jumps"))
 
 
+@query(_sql(_BIG, """SELECT ep AS episode_index, spikes, jumps, CASE WHEN spikes > 0 THEN least(25e0, 8e0 * spikes) ELSE 0e0 END + CASE WHEN jumps > 0 THEN least(20e0, 5e0 * jumps) ELSE 0e0 END AS penalty
+FROM (SELECT n.ep, coalesce(k.n, 0) AS spikes, coalesce(jumps, 0) AS jumps FROM (SELECT ep FROM f GROUP BY ep HAVING count(*) >= 3) n LEFT JOIN (SELECT ep, count(*) AS n FROM sk GROUP BY ep) k USING (ep) LEFT JOIN jm USING (ep))"""))
+def smoothness_check(spark, sf_dir):
+    ds, ctx = _supp(spark, sf_dir)
+    m, flags = C.smoothness(ds, ctx, CFG)
+    p = flags.groupBy("episode_index").agg(F.sum("penalty").alias("penalty"))
+    return m.join(p, "episode_index", "left").select("episode_index", *_long("spikes", "jumps"), F.coalesce("penalty", F.lit(0.0)).alias("penalty"))
+
+
 @query(_sql(_F, f"""SELECT ep AS episode_index, round(sum(abs(w)), 4) AS turned, round(max(abs(w)), {R}) AS most FROM (SELECT ep, y - {2 * math.pi!r}e0 * floor(y / {2 * math.pi!r}e0) - {math.pi!r}e0 AS w FROM (SELECT ep, (a[1] - lag(a[1]) OVER (PARTITION BY ep ORDER BY pos)) * {math.pi / 25!r}e0 + {math.pi!r}e0 AS y FROM f)) WHERE w IS NOT NULL GROUP BY 1"""))
 def wrapped_diff(spark, sf_dir):
     """Quantities as angles: 50 is a full turn."""
@@ -318,6 +343,20 @@ def sync_baseline(spark, sf_dir):
     return S.best_lags(ds, ctx, CFG).agg(F.count("corr").alias("episodes"), _r(F.when(F.count("corr") >= 5, F.median("corr")), 5).alias("baseline"))
 
 
+_MIXED = _LG.replace("v AS (", "ms AS (SELECT ep, pos, a, CASE WHEN ep % 3 = 0 THEN list_reverse(s) ELSE s END AS s FROM fs),\nv AS (", 1).replace("FROM fs WINDOW", "FROM ms WINDOW")
+
+
+@query(_sql(_MIXED, f"""SELECT ep AS episode_index, round(corr, 5) AS corr, CASE WHEN corr < {CFG.sync_min_peak_corr}e0 AND coalesce(base - corr > {CFG.sync_corr_min_drop}e0, true) THEN 10e0 ELSE 0e0 END AS penalty
+FROM bl, (SELECT CASE WHEN count(*) >= 5 THEN median(corr) END AS base FROM bl)"""))
+def sync_check(spark, sf_dir):
+    """Every third supplier has its dimensions in reverse, so its streams don't follow each other."""
+    ds, ctx = _supp(spark, sf_dir)
+    ds = ds.with_frames(ds.frames.withColumn("state", F.when(F.col("episode_index") % 3 == 0, F.reverse("state")).otherwise(F.col("state"))))
+    m, flags = C.sync(ds, ctx, CFG)
+    m = m.join(flags.select("episode_index", "penalty"), "episode_index", "left")
+    return m.select("episode_index", _r("sync_peak_corr", 5).alias("corr"), F.coalesce("penalty", F.lit(0.0)).alias("penalty"))
+
+
 @query(_sql(_LG, f"""SELECT ep AS episode_index, CAST(lag AS BIGINT) AS lag, round(least(25e0, 5 * abs(lag - m)), {R}) AS penalty FROM bl, (SELECT median(lag) AS m, count(*) AS c FROM bl WHERE corr >= {CFG.sync_min_peak_corr}e0) WHERE corr >= {CFG.sync_min_peak_corr}e0 AND c >= 5 AND abs(lag - m) > {CFG.sync_lag_outlier_frames}e0"""))
 def lag_outliers(spark, sf_dir):
     ds, ctx = _supp(spark, sf_dir)
@@ -531,6 +570,25 @@ def reindex_export(spark, sf_dir):
     return out.join(keep, "episode_index").select("old_index", *_long("episode_index", "from_index", "to_index"))
 
 
+@query(_sql(_F + """,
+k AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS e FROM supplier WHERE s_suppkey % 3 <> 0),
+r AS (SELECT e, pos, s_suppkey % 2 = 0 AS trimmed, unnest([true, false]) AS subtract FROM f JOIN k ON s_suppkey = ep),
+t AS (SELECT *, row_number() OVER (PARTITION BY subtract, e ORDER BY pos) - 1 AS new FROM r WHERE NOT trimmed OR CASE WHEN subtract THEN 2 * pos ELSE pos END BETWEEN 5 AND 19)""",
+f"""SELECT CAST(e AS BIGINT) AS episode_index, subtract, count(*) AS frames, CAST(sum(1000 * e + new) AS BIGINT) AS indexes,
+CAST(sum(CASE WHEN NOT subtract THEN new WHEN trimmed THEN 2 * pos - 5 ELSE 2 * pos END) AS BIGINT) AS frame_indexes,
+round(sum(pos / {FPS}e0 - CASE WHEN trimmed THEN 5 / {FPS}e0 ELSE 0 END), 4) AS seconds FROM t GROUP BY 1, 2"""))
+def exported_frames(spark, sf_dir):
+    """Frames as an export writes them: renumbered, with new offsets, every other episode trimmed, by both ways of counting."""
+    from framewright.plans.export import frames_to_keep
+
+    raw = T.suppliers(spark, sf_dir, FPS).frames.select("episode_index", (2 * F.col("frame_index")).alias("frame_index"), F.lit(0).cast("bigint").alias("index"), "timestamp", F.lit("one").alias("_file"), F.col("pos").alias("_row"))
+    keep = merge.renumber(T.table(spark, sf_dir, "supplier").where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("old_index")))
+    plan = keep.select(F.col("old_index").alias("old"), F.col("episode_index").alias("episode"), F.lit(5).alias("start"), F.lit(20).alias("end"), (F.col("episode_index") * 1000).alias("offset"), (F.col("old_index") % 2 == 0).alias("trimmed"))
+    out = [frames_to_keep(raw, plan, FPS, way).withColumn("subtract", F.lit(way)) for way in (True, False)]
+    sums = [F.count("*").alias("frames"), F.sum("index").alias("indexes"), F.sum("frame_index").alias("frame_indexes"), F.round(F.sum("timestamp"), 4).alias("seconds")]
+    return out[0].unionByName(out[1]).groupBy("episode_index", "subtract").agg(*sums)
+
+
 @query(_sql(_F, f"SELECT CAST(dim AS BIGINT) AS dim, round(min(v), {R}) AS min, round(max(v), {R}) AS max, round(avg(v), {R}) AS mean, round(stddev_pop(v), {R}) AS std, count(*) AS count, round(quantile_cont(v, 0.1e0), {R}) AS q10, round(quantile_cont(v, 0.5e0), {R}) AS q50 FROM d GROUP BY 1"))
 def column_stats(spark, sf_dir):
     s = merge.column_stats(T.suppliers(spark, sf_dir).frames, "action", (0.1, 0.5))
