@@ -324,13 +324,24 @@ def requests(packs: DataFrame, n_shards: int, hot) -> DataFrame:
     return packs.select("pack", "train", "text", "ends").mapInArrow(run, REQUESTS)
 
 
+def counts_out(counts: np.ndarray) -> bytes:
+    """Counts in 4 bytes each, in 8 where one of them needs more; the first byte says which."""
+    size = 4 if int(counts.max(initial=0)) < 1 << 32 else 8
+    return bytes([size]) + counts.astype(f"<u{size}").tobytes()
+
+
+def counts_in(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+
+
 def answer(key, table):
     """A shard's answers to all packs, from the trie that it builds; the row without pack has the number of its words."""
     as_ = lambda c, t: [np.frombuffer(x, dtype=t) for x in table.column(c).to_pylist()]
     keys, counts, degree, successors, pair_counts = as_("keys", np.uint64), as_("counts", np.uint32), as_("degree", np.uint32), as_("successors", np.uint32), as_("pair_counts", np.uint32)
     every = np.concatenate(keys)
     distinct, where = np.unique(every, return_inverse=True)
-    total = np.bincount(where, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64)
+    total = np.zeros(len(distinct), dtype=np.int64)
+    np.add.at(total, where, np.concatenate(counts).astype(np.int64))  # whole numbers: sums of doubles would round beyond 2^53
     pair = (np.repeat(where, np.concatenate(degree)).astype(np.uint64) << np.uint64(32)) | np.concatenate(successors)
     times = np.concatenate(pair_counts)
     seen = times > 0
@@ -346,7 +357,7 @@ def answer(key, table):
     packs, out_counts, out_codes = table.column("pack").to_pylist(), [], []
     for k, d, s in zip(keys, degree, successors, strict=True):
         n, c = trie.context(k)
-        out_counts.append(c.astype(np.uint32).tobytes())
+        out_counts.append(counts_out(c))
         out_codes.append(trie.query(n, d, s).tobytes())
     shard = table.column("shard")[0].as_py()
     n = len(packs)
@@ -385,7 +396,7 @@ def score(docs: DataFrame, trains, id_col: str = "doc_id", text_col: str = "text
     def run(left, right):
         rows = []
         by = sorted(zip(right.column("shard").to_pylist(), right.column("counts").to_pylist(), right.column("codes").to_pylist(), strict=True))
-        counts = np.frombuffer(b"".join(c for _, c, _ in by), dtype=np.uint32)
+        counts = np.concatenate([np.zeros(0, np.int64), *(counts_in(c) for _, c, _ in by)])
         codes = np.frombuffer(b"".join(c for _, _, c in by), dtype=np.uint8)
         for ids, train, text, ends in zip(*(left.column(c).to_pylist() for c in ("ids", "train", "text", "ends")), strict=True):
             t = _tokens(text, ends)

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from framewright.llm import lm as M
@@ -107,3 +108,19 @@ def test_repeated_text_scores_better_than_base(spark):
     df = spark.createDataFrame([(i, text if i in (2, 3) else " ".join(f"w{rng.randrange(300)}" for _ in range(400))) for i in range(40)], "doc_id long, text string")
     got = {r.doc_id: r.score - r.base_score for r in M.score(df, lambda i: i != 3).collect()}
     assert got[3] > 100
+
+
+def test_counts_beyond_32_bits():
+    """Two packs that ask for the same two words; one word's counts add up to more than 4 bytes hold."""
+    keys, successors = np.array([5, 9], np.uint64), np.array([7], np.uint32)
+    bits = lambda dtype, *v: np.array(v, dtype).tobytes()
+    packs = [(0, name, keys.tobytes(), bits(np.uint32, 3 * 10**9, 4), bits(np.uint32, 1, 0), successors.tobytes(), bits(np.uint32, 2 * 10**9)) for name in ("a", "b")]
+    names = [x.split()[0] for x in M.REQUESTS.split(", ")]
+    got = M.answer(None, pa.table({n: list(c) for n, c in zip(names, zip(*packs, strict=True), strict=True)})).to_pylist()
+    assert [r["pack"] for r in got] == ["a", "b", None] and got[2]["known"] == 2
+    for r in got[:2]:
+        assert M.counts_in(r["counts"]).tolist() == [6 * 10**9, 8]
+        assert M._DECODED[r["codes"][0]] == pytest.approx(4 / 6, rel=0.1)
+    for counts in ([], [0, 2**32 - 1], [2**32, 1]):
+        raw = M.counts_out(np.array(counts, np.int64))
+        assert M.counts_in(raw).tolist() == counts and len(raw) == 1 + len(counts) * (8 if 2**32 in counts else 4)
