@@ -9,12 +9,14 @@ import math
 from dataclasses import dataclass, field, replace
 from statistics import median
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from framewright.config import Config
 from framewright.dataset import Dataset
-from framewright.functions.scalars import MAD, TINY, axis_pairs, finite, gripper_dims, matched_dims, norm2, not_nan, numbers, sure, wrap
+from framewright.functions.scalars import MAD, TINY, axis_pairs, finite, gripper_dims, matched_dims, not_nan, sure, wrap
+from framewright.operators.quantiles import percentiles
+from framewright.tables import write_and_read
 
 
 @dataclass(frozen=True)
@@ -41,26 +43,54 @@ def by_episode() -> Window:
 
 def with_previous(frames: DataFrame) -> DataFrame:
     """frames with prev: the action of the frame before. One exchange by episode serves all windows that follow."""
-    return frames.withColumn("prev", F.lag("action").over(by_episode()))
+    return frames if "prev" in frames.columns else frames.withColumn("prev", F.lag("action").over(by_episode()))
 
 
-def dim_stats(frames: DataFrame, accuracy: int | None = None) -> DataFrame:
+def with_neighbours(frames: DataFrame) -> DataFrame:
+    """frames, written once, with prev, what else the context asks of neighbours, and sizes: several passes read it without an exchange."""
+    n = F.count("action").over(Window.partitionBy("episode_index"))
+    f = with_previous(frames).withColumn("prev_state", F.lag("state").over(by_episode())).withColumn("_n", n)
+    f = f.withColumn("_same", F.when(F.col("prev_state").isNotNull(), same_state())).withColumn("_width", F.size("state"))
+    return write_and_read(f.select("episode_index", "pos", "action", "prev", "_n", "_same", "_width"), "neighbours")
+
+
+#: Percentiles of dim_stats: of which values, and which share.
+PERCENTILES = {"q25": ("v", 0.25), "q75": ("v", 0.75), "p99": ("step", 0.99), "turn99": ("turn", 0.99)}
+DIM_STATS = "dim int, q25 double, q75 double, std double, lo double, hi double, p99 double, turn99 double"
+
+
+def dim_stats(frames: DataFrame, accuracy: int | None = None, names=tuple(PERCENTILES)) -> DataFrame:
     """A row for each action dimension, over episodes of more than one frame: q25, q75, std, lo, hi, and the 99th percentiles of steps, plain and wrapped.
 
-    Percentiles are exact and interpolate; with accuracy they are approximate and need little memory, whatever
-    the number of distinct values.
+    Percentiles are exact and interpolate, and are computed at once; with accuracy they are approximate. Neither way
+    keeps a table of all values in one task. names: the percentiles that are needed; the others are null.
     """
-    w = Window.partitionBy("episode_index")
-    long_ = with_previous(frames).withColumn("_n", F.count("action").over(w)).where("_n > 1 and action is not null")
-    each = long_.select(F.posexplode(F.arrays_zip("action", F.coalesce("prev", F.transform("action", lambda x: F.lit(None).cast("double"))).alias("prev"))).alias("dim", "x"))
-    v, d = not_nan(F.col("x.action")), not_nan(F.col("x.action") - F.col("x.prev"))
-    if accuracy is None:
-        q = lambda c, p: F.percentile(c, p)
-    else:
-        q = lambda c, p: F.percentile_approx(c, p, accuracy)
-    return each.select("dim", v.alias("v"), F.abs(d).alias("step"), F.abs(wrap(d)).alias("turn")).groupBy("dim").agg(
-        q("v", 0.25).alias("q25"), q("v", 0.75).alias("q75"), F.stddev_pop("v").alias("std"), F.min("v").alias("lo"), F.max("v").alias("hi"), q("step", 0.99).alias("p99"), q("turn", 0.99).alias("turn99"),
-    )
+    if "_n" not in frames.columns:
+        frames = with_neighbours(frames.select("episode_index", "pos", "action", F.lit(None).cast("array<double>").alias("state"))) if accuracy is None else with_previous(frames).withColumn("_n", F.count("action").over(Window.partitionBy("episode_index")))
+    long_ = frames.where("_n > 1 and action is not null")
+    if accuracy is not None:
+        each = long_.select(F.posexplode(F.arrays_zip("action", F.coalesce("prev", F.transform("action", lambda x: F.lit(None).cast("double"))).alias("prev"))).alias("dim", "x"))
+        v, d = not_nan(F.col("x.action")), not_nan(F.col("x.action") - F.col("x.prev"))
+        each = each.select("dim", v.alias("v"), F.abs(d).alias("step"), F.abs(wrap(d)).alias("turn"))
+        return each.groupBy("dim").agg(
+            *[F.percentile_approx(c, p, accuracy).alias(n) for n, (c, p) in PERCENTILES.items()], F.stddev_pop("v").alias("std"), F.min("v").alias("lo"), F.max("v").alias("hi"),
+        )
+    kinds = ["v", *sorted({PERCENTILES[n][0] for n in names} - {"v"})]
+    width = long_.agg(F.max(F.size("action"))).collect()[0][0] or 0
+    if not width:
+        return frames.sparkSession.createDataFrame([], DIM_STATS)
+    each = []
+    for i in range(width):
+        d = F.get("action", F.lit(i)) - F.get("prev", F.lit(i))
+        of = {"v": F.get("action", F.lit(i)), "step": F.abs(d), "turn": F.abs(wrap(d))}
+        each += [F.struct(F.lit(i).alias("dim"), F.lit(k).alias("kind"), not_nan(of[kind]).alias("v")) for k, kind in enumerate(kinds)]
+    values = long_.select(F.size("action").alias("_w"), F.explode(F.array(*each)).alias("y")).where("y.dim < _w").select("y.dim", "y.kind", "y.v")
+    shares = {k: [PERCENTILES[n][1] for n in names if PERCENTILES[n][0] == kind] for k, kind in enumerate(kinds)}
+    wide = [F.stddev_pop("v").alias("std"), F.min("v").alias("lo"), F.max("v").alias("hi")]
+    found = {(r["dim"], r["kind"]): r for r in percentiles(values, ["dim", "kind"], [p for ps in shares.values() for p in ps], lambda r: shares[r["kind"]], wide)}
+    at = lambda d, n: found[d, kinds.index(PERCENTILES[n][0])][PERCENTILES[n][1]] if n in names else None
+    rows = [(d, at(d, "q25"), at(d, "q75"), r["std"], r["lo"], r["hi"], at(d, "p99"), at(d, "turn99")) for (d, k), r in sorted(found.items()) if k == 0]
+    return frames.sparkSession.createDataFrame(rows, DIM_STATS)
 
 
 def scale_of(q25, q75, std) -> float | None:
@@ -102,24 +132,36 @@ def usable_steps(step_p99, scale, grippers, z: float):
 
 def speed_column(ctx: Context, action="action", prev="prev"):
     """Root mean square over the live dimensions, in scales a second; 0 if none is finite."""
-    v = F.filter(F.zip_with(F.zip_with(F.col(action), F.col(prev), lambda a, b: a - b), numbers(ctx.scale), lambda d, s: d / s * F.lit(ctx.fps)), finite)
-    return F.sqrt(norm2(v) / F.greatest(F.size(v), F.lit(1)))
+    square, live = F.lit(0.0), F.lit(0)
+    for i, scale in enumerate(ctx.scale):
+        if scale is not None:
+            d = (F.get(action, F.lit(i)) - F.get(prev, F.lit(i))) / F.lit(float(scale)) * F.lit(ctx.fps)
+            square, live = square + F.when(finite(d), d * d).otherwise(F.lit(0.0)), live + finite(d).cast("int")
+    return F.sqrt(square / F.greatest(live, F.lit(1)))
 
 
-def stale_column(ctx: Context):
-    """All of the state is repeated while the action moves; needs the columns state, prev_state, action, prev."""
-    same = F.forall(F.zip_with("state", "prev_state", lambda a, b: sure(a - b == 0)), lambda x: x)
-    return sure(same & (speed_column(ctx) > 5 * ctx.moving))
+def same_state():
+    """All of the state is repeated; needs the columns state and prev_state."""
+    return sure(F.forall(F.zip_with("state", "prev_state", lambda a, b: sure(a - b == 0)), lambda x: x))
+
+
+def stale_column(ctx: Context, same=None):
+    """All of the state is repeated while the action moves; needs the columns action, prev, and state and prev_state or same."""
+    return sure((same_state() if same is None else same) & (speed_column(ctx) > 5 * ctx.moving))
 
 
 def build(ds: Dataset, cfg: Config, accuracy: int | None = None) -> Context:
     """The context. Without episodes of two frames with actions there is no scale, and nothing idles."""
     width = lambda c: F.max(F.when(F.col(c).isNotNull(), F.size(c)))
-    first = ds.frames.agg(width("action").alias("a"), width("state").alias("s")).collect()[0]
+    ds = ds.with_frames(with_neighbours(ds.frames))
+    first = ds.frames.agg(width("action").alias("a"), F.max(F.when(F.col("_width") >= 0, F.col("_width"))).alias("s")).collect()[0]
     ctx = Context(ds.fps, None, None, grippers=gripper_dims(ds.action_names), sync_dims=matched_dims(ds.action_names, ds.state_names, first.a, first.s))
-    rows = {r["dim"]: r for r in dim_stats(ds.frames, accuracy).select("*", angular_column(cfg).alias("angular")).collect()}
+    rows = {r["dim"]: r for r in dim_stats(ds.frames, accuracy, ("q25", "q75", "p99")).select("*", angular_column(cfg).alias("angular")).collect()}
     if not rows:
         return ctx
+    if accuracy is None and any(r.angular for r in rows.values()):
+        turns = {r["dim"]: r.turn99 for r in dim_stats(ds.frames, accuracy, ("turn99",)).collect()}
+        rows = {d: Row(**r.asDict() | {"turn99": turns[d]}) for d, r in rows.items()}
     rows = [rows[d] for d in sorted(rows)]
     scale = [scale_of(r.q25, r.q75, r["std"]) for r in rows]
     angular = [bool(r.angular) for r in rows]
@@ -133,11 +175,15 @@ def speeds(ds: Dataset, ctx: Context) -> DataFrame:
     return with_previous(ds.frames).where("prev is not null and action is not null").select("episode_index", (F.col("pos") - 1).alias("t"), speed_column(ctx).alias("speed"))
 
 
+def speed_p75(moving: DataFrame, accuracy: int | None = None) -> float | None:
+    if accuracy is not None:
+        return moving.agg(F.percentile_approx("speed", 0.75, accuracy).alias("p")).collect()[0].p
+    return percentiles(moving.select(F.col("speed").alias("v")), [], [0.75])[0][0.75]
+
+
 def motion(ds: Dataset, ctx: Context, cfg: Config, accuracy: int | None = None) -> dict:
     """idle_speed and stale_baseline."""
-    c = F.col("speed")
-    p75 = (F.percentile(c, 0.75) if accuracy is None else F.percentile_approx(c, 0.75, accuracy)).alias("p")
-    idle = cfg.idle_fraction_of_p75 * (speeds(ds, ctx).agg(p75).collect()[0].p or 0.0)
+    idle = cfg.idle_fraction_of_p75 * (speed_p75(speeds(ds, ctx), accuracy) or 0.0)
     ctx = replace(ctx, idle_speed=idle)
     stale = stale_fractions(ds, ctx).agg(F.median("stale_state_fraction").alias("m")).collect()[0].m
     return {"idle_speed": idle, "stale_baseline": stale or 0.0}
@@ -145,6 +191,8 @@ def motion(ds: Dataset, ctx: Context, cfg: Config, accuracy: int | None = None)
 
 def stale_fractions(ds: Dataset, ctx: Context) -> DataFrame:
     """episode_index and stale_state_fraction of episodes of three frames and more with both streams."""
-    f = with_previous(ds.frames).withColumn("prev_state", F.lag("state").over(by_episode()))
-    f = f.where("prev is not null and prev_state is not null")
-    return f.groupBy("episode_index").agg(F.avg(stale_column(ctx).cast("double")).alias("stale_state_fraction"), F.count("*").alias("_n")).where("_n >= 2").drop("_n")
+    f = with_previous(ds.frames)
+    if "_same" not in f.columns:
+        f = f.withColumn("prev_state", F.lag("state").over(by_episode())).withColumn("_same", F.when(F.col("prev_state").isNotNull(), same_state()))
+    f = f.where("prev is not null and _same is not null")
+    return f.groupBy("episode_index").agg(F.avg(stale_column(ctx, F.col("_same")).cast("double")).alias("stale_state_fraction"), F.count("*").alias("_n")).where("_n >= 2").drop("_n")

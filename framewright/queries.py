@@ -90,7 +90,7 @@ def _sql(ctes: str, select: str) -> str:
 
 @query(_sql(_SC, f"SELECT CAST(dim AS BIGINT) AS dim, round(q25, {R}) AS q25, round(q75, {R}) AS q75, round(sd, {R}) AS std, round(scale, {R}) AS scale FROM sc"))
 def scale_per_dim(spark, sf_dir):
-    return X.dim_stats(T.suppliers(spark, sf_dir).frames).select(*_long("dim"), _r("q25").alias("q25"), _r("q75").alias("q75"), _r("std").alias("std"), _r(X.scale_column()).alias("scale"))
+    return X.dim_stats(T.suppliers(spark, sf_dir).frames, names=("q25", "q75")).select(*_long("dim"), _r("q25").alias("q25"), _r("q75").alias("q75"), _r("std").alias("std"), _r(X.scale_column()).alias("scale"))
 
 
 _ANGLES = [float(f'{x:.17f}') for x in (math.pi / 25, math.pi / 60000, 60.0, 40.0)]
@@ -100,18 +100,20 @@ _ANGLES = [float(f'{x:.17f}') for x in (math.pi / 25, math.pi / 60000, 60.0, 40.
 FROM (SELECT dim, min(v * m - {math.pi!r}e0) AS lo, max(v * m - {math.pi!r}e0) AS hi FROM d JOIN (SELECT unnest([0, 1, 2, 3]) AS dim, unnest([{', '.join(f'{a:.17f}e0' for a in _ANGLES)}]) AS m) USING (dim) GROUP BY dim)"""))
 def angular_dims(spark, sf_dir):
     frames = T.suppliers(spark, sf_dir).frames.withColumn("action", F.zip_with("action", numbers(_ANGLES), lambda a, m: a * m - F.lit(math.pi)))
-    return X.dim_stats(frames).select(*_long("dim"), _r("lo").alias("lo"), _r("hi").alias("hi"), X.angular_column(CFG).alias("angular"))
+    return X.dim_stats(frames, names=()).select(*_long("dim"), _r("lo").alias("lo"), _r("hi").alias("hi"), X.angular_column(CFG).alias("angular"))
 
 
 @query(_sql(_SC, f"SELECT CAST(dim AS BIGINT) AS dim, round(p99, {R}) AS p99, round(step_p99, {R}) AS step_p99 FROM sc"))
 def step_p99(spark, sf_dir):
-    return X.dim_stats(T.suppliers(spark, sf_dir).frames).select(*_long("dim"), _r("p99").alias("p99"), _r(F.col("p99") / X.scale_column()).alias("step_p99"))
+    return X.dim_stats(T.suppliers(spark, sf_dir).frames, names=("q25", "q75", "p99")).select(*_long("dim"), _r("p99").alias("p99"), _r(F.col("p99") / X.scale_column()).alias("step_p99"))
 
 
 @query(_sql(_SP, f"SELECT round(idle_speed, {R}) AS idle_speed FROM ctx"))
 def idle_speed(spark, sf_dir):
     ds, ctx = _supp(spark, sf_dir)
-    return X.speeds(ds, ctx).agg(_r(CFG.idle_fraction_of_p75 * F.percentile("speed", 0.75)).alias("idle_speed"))
+    p75 = X.speed_p75(X.speeds(ds, ctx))
+    idle = None if p75 is None else CFG.idle_fraction_of_p75 * p75
+    return spark.createDataFrame([(idle,)], "idle_speed double").select(_r("idle_speed").alias("idle_speed"))
 
 
 _LO = lambda c: f"""l{c} AS (SELECT dim, ln({c}) AS x FROM m), c{c} AS (SELECT median(x) AS mid FROM l{c}), s{c} AS (SELECT {MAD}e0 * median(abs(x - mid)) AS mad FROM l{c}, c{c}),
@@ -142,7 +144,7 @@ def stale_check(spark, sf_dir):
     ds, ctx = _supp(spark, sf_dir)
     frames = ds.frames.withColumn("state", F.array(F.floor(F.get("action", F.lit(0)) / 25.0).cast("double"), F.floor(F.get("action", F.lit(2)) * 20.0).cast("double")))
     ds = ds.with_frames(frames)
-    ctx = replace(ctx, **X.motion(ds, ctx, CFG.override(idle_fraction_of_p75=CFG.idle_fraction_of_p75 / 10)))
+    ctx = replace(ctx, **X.motion(ds.with_frames(X.with_neighbours(frames)), ctx, CFG.override(idle_fraction_of_p75=CFG.idle_fraction_of_p75 / 10)))
     m, flags = C.stale_state(ds, ctx, CFG)
     m = m.join(flags.select("episode_index", "penalty"), "episode_index", "left")
     return m.select("episode_index", _r("stale_state_fraction").alias("stale_state_fraction"), F.round(F.lit(ctx.stale_baseline), R).alias("baseline"), F.coalesce(_r("penalty", 4), F.lit(0.0)).alias("penalty"))
