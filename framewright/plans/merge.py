@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewright.functions.scalars import not_nan
+from framewright.functions.scalars import not_nan, sure
 
 
 def renumber(keep: DataFrame) -> DataFrame:
@@ -33,11 +33,21 @@ def column_stats(frames: DataFrame, column: str, quantiles=(), by=()) -> DataFra
 
 
 def merge_stats(parts: DataFrame, by, quantiles=()) -> DataFrame:
-    """Statistics of the whole from those of its parts, weighted by count. Quantiles are weighted means of quantiles, an approximation."""
+    """Statistics of the whole from those of its parts, weighted by count. Quantiles are weighted means of quantiles, an approximation.
+
+    These means are summed in decimals where those hold every term, so they don't depend on the order of the parts.
+    """
     total = parts.groupBy(*by).agg(F.sum("count").alias("_n"), (F.sum(F.col("count") * F.col("mean")) / F.sum("count")).alias("_m"))
     p = parts.join(total, list(by))
     spread = F.sum(F.col("count") * (F.col("std") * F.col("std") + (F.col("mean") - F.col("_m")) * (F.col("mean") - F.col("_m"))))
-    return p.groupBy(*by).agg(F.max("_n").alias("count"), F.max("_m").alias("mean"), F.sqrt(spread / F.max("_n")).alias("std"), F.min("min").alias("min"), F.max("max").alias("max"), *[(F.sum(F.col("count") * F.col(q)) / F.max("_n")).alias(q) for q in quantiles])
+    return p.groupBy(*by).agg(F.max("_n").alias("count"), F.max("_m").alias("mean"), F.sqrt(spread / F.max("_n")).alias("std"), F.min("min").alias("min"), F.max("max").alias("max"), *[(_steady_sum(F.col("count") * F.col(q)) / F.max("_n")).alias(q) for q in quantiles])
+
+
+def _steady_sum(x):
+    """Sum of doubles, the same in any order; where a term doesn't fit a decimal, the plain sum."""
+    d = x.try_cast("decimal(38,18)")
+    fits = F.count_if(sure(d.cast("double") == x)) == F.count(x)
+    return F.coalesce(F.when(fits, F.try_sum(d).cast("double")), F.sum(x))
 
 
 def narrowed(start, end, trim_start, trim_end, length, fps: float):

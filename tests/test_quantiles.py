@@ -42,3 +42,15 @@ def test_dim_stats_keep_no_table_of_all_values(spark, monkeypatch):
     assert sorted(got) == [0, 1]  # a single frame tells no dimension
     for i in (0, 1):
         assert np.allclose([got[i].q25, got[i].q75, got[i].p99, got[i]["std"]], [*np.percentile(a[:, i], [25, 75]), np.percentile(steps[:, i], 99), a[:, i].std()])
+
+
+def test_merged_quantiles_do_not_depend_on_the_order_of_the_parts(spark):
+    from framewright.plans import merge
+
+    def merged(values):
+        parts = spark.createDataFrame([(0, 1, v, 0.0, v, v, v) for v in values], "dim int, count long, mean double, std double, min double, max double, q50 double").coalesce(1)
+        return merge.merge_stats(parts, ["dim"], ["q50"]).collect()[0].q50
+
+    values = [1e15, 0.1, 0.2, 0.3, -1e15]
+    assert merged(values) == merged(values[::-1]) == merged(sorted(values)) == 0.6 / 5
+    assert merged([1e300, 1.0, 3e300]) == 4e300 / 3
