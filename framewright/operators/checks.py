@@ -14,6 +14,7 @@ from framewright.dataset import Dataset
 from framewright.functions.scalars import finite, half_even, robust_z, sure
 from framewright.operators import signals
 from framewright.operators.context import Context, by_episode, stale_column, with_previous
+from framewright.tables import write_and_read
 
 ORD = {"timing": 10, "metadata": 20, "integrity": 30, "video_sync": 40, "camera": 50, "video_freeze": 60, "idle": 70, "smoothness": 80, "stale_state": 90, "sync": 100, "gripper_chatter": 110, "length": 120, "jerk": 130, "lag": 140, "duplicate": 150}
 FLAGS = "episode_index bigint, ord int, check string, severity string, message string, penalty double"
@@ -96,7 +97,7 @@ def idle(ds: Dataset, ctx: Context, cfg: Config):
         return None, None
     fps = ds.fps
     size = ds.frames.where("action is not null").groupBy("episode_index").agg(F.count("*").alias("length"))
-    t = signals.idling(ds, ctx, cfg)
+    t = write_and_read(signals.idling(ds, ctx, cfg).select("episode_index", "t", "idle"), "idling")  # read twice
     ends = t.groupBy("episode_index").agg(F.count("*").alias("n"), F.min(F.when(~F.col("idle"), F.col("t"))).alias("first"), F.max(F.when(~F.col("idle"), F.col("t"))).alias("last"), F.avg(F.col("idle").cast("double")).alias("part"))
     inside = signals.runs(t, "idle", "t").join(ends.select("episode_index", "first", "last"), "episode_index").where("begin > first and begin < last")
     pause = inside.groupBy("episode_index").agg(F.max(F.col("end") - F.col("begin")).alias("pause"))
