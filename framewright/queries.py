@@ -26,15 +26,14 @@ FPS = 10.0
 CFG = Config().override(idle_fraction_of_p75=0.8, spike_factor=0.95, max_idle_fraction=0.3, min_trimmable_idle_s=0.2, trim_pad_s=0.1, max_pause_s=0.5, stale_state_max_fraction=-0.01, sync_lag_outlier_frames=1.0, outlier_z=1.0, jerk_z=-1.0, min_ldlj_diff=0.01, min_relative_length_diff=0.01, gripper_chatter_window_s=0.3, gripper_chatter_min_toggles=2, sync_min_peak_corr=0.2, dedupe_z=1.5)
 R = 6
 
-_kept: dict[tuple, tuple] = {}
+_kept: dict[tuple, X.Context] = {}
 
 
-def _supp(spark: SparkSession, sf_dir: str):
-    """Dataset and context of the suppliers; the context, some numbers, is kept for a session and folder."""
+def _supp(spark: SparkSession, sf_dir: str, *parts: str):
+    """Dataset and context of the suppliers, with the parts asked for or all; the context, some numbers, is kept for a session and folder."""
     ds = T.suppliers(spark, sf_dir, FPS)
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _kept:
-        _kept[key] = X.build(ds, CFG)
+    _kept[key] = X.build(ds, CFG, parts=parts or X.PARTS, known=_kept.get(key))
     return ds, _kept[key]
 
 
@@ -110,9 +109,8 @@ def step_p99(spark, sf_dir):
 
 @query(_sql(_SP, f"SELECT round(idle_speed, {R}) AS idle_speed FROM ctx"))
 def idle_speed(spark, sf_dir):
-    ds, ctx = _supp(spark, sf_dir)
-    p75 = X.speed_p75(X.speeds(ds, ctx))
-    idle = None if p75 is None else CFG.idle_fraction_of_p75 * p75
+    _, ctx = _supp(spark, sf_dir, "idle")
+    idle = None if ctx.scale is None else ctx.idle_speed
     return spark.createDataFrame([(idle,)], "idle_speed double").select(_r("idle_speed").alias("idle_speed"))
 
 
@@ -141,10 +139,11 @@ def stale_check(spark, sf_dir):
     """States coarse enough to repeat, and a tenth of the usual speed limit."""
     from dataclasses import replace
 
-    ds, ctx = _supp(spark, sf_dir)
+    ds, ctx = _supp(spark, sf_dir, "scale")
     frames = ds.frames.withColumn("state", F.array(F.floor(F.get("action", F.lit(0)) / 25.0).cast("double"), F.floor(F.get("action", F.lit(2)) * 20.0).cast("double")))
     ds = ds.with_frames(frames)
-    ctx = replace(ctx, **X.motion(ds.with_frames(X.with_neighbours(frames)), ctx, CFG.override(idle_fraction_of_p75=CFG.idle_fraction_of_p75 / 10)))
+    ctx = replace(ctx, parts=ctx.parts - {"idle", "stale"})
+    ctx = X.build(ds, CFG.override(idle_fraction_of_p75=CFG.idle_fraction_of_p75 / 10), parts=("idle", "stale"), known=ctx)
     m, flags = C.stale_state(ds, ctx, CFG)
     m = m.join(flags.select("episode_index", "penalty"), "episode_index", "left")
     return m.select("episode_index", _r("stale_state_fraction").alias("stale_state_fraction"), F.round(F.lit(ctx.stale_baseline), R).alias("baseline"), F.coalesce(_r("penalty", 4), F.lit(0.0)).alias("penalty"))
@@ -232,7 +231,7 @@ def camera_check(spark, sf_dir):
   round(greatest(0, 100 - CASE WHEN tr.s IS NOT NULL THEN least(10e0, 2 * (lead + trail) / {FPS}e0) ELSE 0 END - CASE WHEN part > {CFG.max_idle_fraction}e0 THEN (part - {CFG.max_idle_fraction}e0) * 50 ELSE 0 END - CASE WHEN pause / {FPS}e0 > {CFG.max_pause_s}e0 THEN 5 ELSE 0 END), {R}) AS score FROM im LEFT JOIN tr USING (ep)"""))
 def idle_check(spark, sf_dir):
     """The flagship: from scales to speeds to idle stretches, trims and a score."""
-    ds, ctx = _supp(spark, sf_dir)
+    ds, ctx = _supp(spark, sf_dir, "idle")
     m, flags = C.idle(ds, ctx, CFG)
     p = flags.groupBy("episode_index").agg(F.sum("penalty").alias("p"))
     return m.join(p, "episode_index", "left").select("episode_index", *[_r(c).alias(c) for c in ("idle_fraction", "lead_idle_s", "trail_idle_s", "longest_pause_s")], "trim_start", "trim_end", _r(score_column(F.col("p"))).alias("score"))
@@ -240,13 +239,13 @@ def idle_check(spark, sf_dir):
 
 @query(_sql(_SP, "SELECT ep AS episode_index, CAST(b AS BIGINT) AS run_begin, CAST(e AS BIGINT) AS run_end FROM ir"))
 def idle_runs(spark, sf_dir):
-    ds, ctx = _supp(spark, sf_dir)
+    ds, ctx = _supp(spark, sf_dir, "idle")
     return S.runs(S.idling(ds, ctx, CFG), "idle", "t").select("episode_index", F.col("begin").cast("bigint").alias("run_begin"), F.col("end").cast("bigint").alias("run_end"))
 
 
 @query(_sql(_SP, f"SELECT f.ep AS episode_index, count(*) AS frames, round(sum(a[1]), 2) AS quantity FROM f LEFT JOIN tr USING (ep) WHERE s IS NULL OR (pos >= s AND pos < e) GROUP BY 1"))
 def trim_filter(spark, sf_dir):
-    ds, ctx = _supp(spark, sf_dir)
+    ds, ctx = _supp(spark, sf_dir, "idle")
     trims = C.idle(ds, ctx, CFG)[0].where("trim_start is not null").select("episode_index", "trim_start", "trim_end")
     f = ds.frames.join(trims, "episode_index", "left").where("trim_start is null or (pos >= trim_start and pos < trim_end)")
     return f.groupBy("episode_index").agg(F.count("*").alias("frames"), _r(F.sum(F.get("action", F.lit(0))), 2).alias("quantity"))
@@ -263,20 +262,20 @@ jm AS (SELECT ep, count(DISTINCT g) AS jumps FROM (SELECT ep, t - row_number() O
 
 @query(_sql(_BIG, "SELECT ep AS episode_index, CAST(t AS BIGINT) AS t FROM sk"))
 def spikes(spark, sf_dir):
-    ds, ctx = _supp(spark, sf_dir)
+    ds, ctx = _supp(spark, sf_dir, "steps")
     return S.spike_frames(S.big_steps(ds, ctx, CFG)).select("episode_index", *_long("t"))
 
 
 @query(_sql(_BIG, "SELECT ep AS episode_index, coalesce(n, 0) AS spikes, coalesce(jumps, 0) AS jumps FROM (SELECT ep, count(*) AS n FROM sk GROUP BY ep) FULL JOIN jm USING (ep)"))
 def bridged_jumps(spark, sf_dir):
-    ds, ctx = _supp(spark, sf_dir)
+    ds, ctx = _supp(spark, sf_dir, "steps")
     return S.spikes_and_jumps(ds, ctx, CFG).select("episode_index", *_long("spikes", "jumps"))
 
 
 @query(_sql(_BIG, """SELECT ep AS episode_index, spikes, jumps, CASE WHEN spikes > 0 THEN least(25e0, 8e0 * spikes) ELSE 0e0 END + CASE WHEN jumps > 0 THEN least(20e0, 5e0 * jumps) ELSE 0e0 END AS penalty
 FROM (SELECT n.ep, coalesce(k.n, 0) AS spikes, coalesce(jumps, 0) AS jumps FROM (SELECT ep FROM f GROUP BY ep HAVING count(*) >= 3) n LEFT JOIN (SELECT ep, count(*) AS n FROM sk GROUP BY ep) k USING (ep) LEFT JOIN jm USING (ep))"""))
 def smoothness_check(spark, sf_dir):
-    ds, ctx = _supp(spark, sf_dir)
+    ds, ctx = _supp(spark, sf_dir, "steps")
     m, flags = C.smoothness(ds, ctx, CFG)
     p = flags.groupBy("episode_index").agg(F.sum("penalty").alias("penalty"))
     return m.join(p, "episode_index", "left").select("episode_index", *_long("spikes", "jumps"), F.coalesce("penalty", F.lit(0.0)).alias("penalty"))
@@ -318,7 +317,7 @@ lj AS (SELECT ep, -ln(power(count(*) * {1 / FPS!r}e0, 3) / max(v2) * (sum(j2) *
 
 @query(_sql(_LD, f"SELECT ep AS episode_index, round(ldlj, {R}) AS ldlj FROM lj"))
 def ldlj(spark, sf_dir):
-    ds, ctx = _supp(spark, sf_dir)
+    ds, ctx = _supp(spark, sf_dir, "scale")
     return S.jerkiness(ds, ctx).select("episode_index", _r("ldlj").alias("ldlj"))
 
 
@@ -335,13 +334,15 @@ bl AS (SELECT ep, lag, corr FROM mc QUALIFY row_number() OVER (PARTITION BY ep O
 
 @query(_sql(_LG, "SELECT ep AS episode_index, CAST(lag AS BIGINT) AS lag, round(corr, 5) AS corr FROM bl"))
 def sync_best_lag(spark, sf_dir):
-    ds, ctx = _supp(spark, sf_dir)
+    ds = T.suppliers(spark, sf_dir, FPS)
+    ctx = X.unscaled(ds)
     return S.best_lags(ds, ctx, CFG).select("episode_index", *_long("lag"), _r("corr", 5).alias("corr"))
 
 
 @query(_sql(_LG, "SELECT count(*) AS episodes, round(CASE WHEN count(*) >= 5 THEN median(corr) END, 5) AS baseline FROM bl"))
 def sync_baseline(spark, sf_dir):
-    ds, ctx = _supp(spark, sf_dir)
+    ds = T.suppliers(spark, sf_dir, FPS)
+    ctx = X.unscaled(ds)
     return S.best_lags(ds, ctx, CFG).agg(F.count("corr").alias("episodes"), _r(F.when(F.count("corr") >= 5, F.median("corr")), 5).alias("baseline"))
 
 
@@ -352,7 +353,8 @@ _MIXED = _LG.replace("v AS (", "ms AS (SELECT ep, pos, a, CASE WHEN ep % 3 = 0 T
 FROM bl, (SELECT CASE WHEN count(*) >= 5 THEN median(corr) END AS base FROM bl)"""))
 def sync_check(spark, sf_dir):
     """Every third supplier has its dimensions in reverse, so its streams don't follow each other."""
-    ds, ctx = _supp(spark, sf_dir)
+    ds = T.suppliers(spark, sf_dir, FPS)
+    ctx = X.unscaled(ds)
     ds = ds.with_frames(ds.frames.withColumn("state", F.when(F.col("episode_index") % 3 == 0, F.reverse("state")).otherwise(F.col("state"))))
     m, flags = C.sync(ds, ctx, CFG)
     m = m.join(flags.select("episode_index", "penalty"), "episode_index", "left")
@@ -361,7 +363,8 @@ def sync_check(spark, sf_dir):
 
 @query(_sql(_LG, f"""SELECT ep AS episode_index, CAST(lag AS BIGINT) AS lag, round(least(25e0, 5 * abs(lag - m)), {R}) AS penalty FROM bl, (SELECT median(lag) AS m, count(*) AS c FROM bl WHERE corr >= {CFG.sync_min_peak_corr}e0) WHERE corr >= {CFG.sync_min_peak_corr}e0 AND c >= 5 AND abs(lag - m) > {CFG.sync_lag_outlier_frames}e0"""))
 def lag_outliers(spark, sf_dir):
-    ds, ctx = _supp(spark, sf_dir)
+    ds = T.suppliers(spark, sf_dir, FPS)
+    ctx = X.unscaled(ds)
     m, _ = C.sync(ds, ctx, CFG)
     _, flags = C.lag_outliers(m, CFG)
     return flags.join(m, "episode_index").select("episode_index", F.col("sync_lag_frames").cast("bigint").alias("lag"), _r("penalty").alias("penalty"))
@@ -386,13 +389,13 @@ def hysteresis_toggles(spark, sf_dir):
 
 @query(_sql(_HY + ", c AS (SELECT ep, count(*) OVER (PARTITION BY ep ORDER BY t RANGE BETWEEN 0.3e0 PRECEDING AND CURRENT ROW) AS k FROM eg)", "SELECT ep AS episode_index, count(*) AS edges, max(k) AS most FROM c GROUP BY 1"))
 def sliding_toggle_count(spark, sf_dir):
-    ds, ctx = _supp(spark, sf_dir)
+    ds, ctx = _supp(spark, sf_dir, "scale")
     return S.toggles(ds, ctx, CFG.override(gripper_active_frac=0.0)).select("episode_index", *_long("edges", "most"))
 
 
 @query(_sql(_HY + ", st AS (SELECT (quantile_cont(a[4], 0.75e0) - quantile_cont(a[4], 0.25e0)) / 1.349e0 AS scale FROM f), c AS (SELECT ep, hi - lo AS span, count(*) OVER (PARTITION BY ep ORDER BY t RANGE BETWEEN 0.3e0 PRECEDING AND CURRENT ROW) AS k FROM eg)", f"SELECT ep AS episode_index, max(k) AS gripper_toggles_per_window, least(20e0, 3e0 * max(k)) AS penalty FROM c, st WHERE span >= 0.5e0 * scale GROUP BY 1 HAVING count(*) >= {CFG.gripper_chatter_min_toggles} AND max(k) >= {CFG.gripper_chatter_min_toggles}"))
 def gripper_check(spark, sf_dir):
-    ds, ctx = _supp(spark, sf_dir)
+    ds, ctx = _supp(spark, sf_dir, "scale")
     m, flags = C.gripper_chatter(ds, ctx, CFG)
     return m.join(flags, "episode_index").select("episode_index", *_long("gripper_toggles_per_window"), "penalty")
 
@@ -416,7 +419,7 @@ def length_outliers(spark, sf_dir):
 
 @query(_sql(_LD + ", " + _relative_sql("SELECT ep, ldlj AS v FROM lj"), f"SELECT ep AS episode_index, round(z, 4) AS ldlj_z, z < {CFG.jerk_z}e0 AND mid - v > {CFG.min_ldlj_diff}e0 AS flagged FROM z"))
 def jerk_outliers(spark, sf_dir):
-    ds, ctx = _supp(spark, sf_dir)
+    ds, ctx = _supp(spark, sf_dir, "scale")
     m, flags = C.jerk_outliers(S.jerkiness(ds, ctx), CFG)
     return m.join(flags.select("episode_index", F.lit(True).alias("flagged")), "episode_index", "left").select("episode_index", _r("ldlj_z", 4).alias("ldlj_z"), sure(F.col("flagged")).alias("flagged"))
 
@@ -443,7 +446,7 @@ rs AS (SELECT p.ep, p.k, x.dim, x.v / scale + (y.v / scale - x.v / scale) * (p.y
 
 @query(_sql(_RS, f"SELECT ep AS episode_index, CAST(k AS BIGINT) AS k, round(sum(u), 5) AS total FROM rs GROUP BY 1, 2"))
 def resample_50(spark, sf_dir):
-    ds, ctx = _supp(spark, sf_dir)
+    ds, ctx = _supp(spark, sf_dir, "scale")
     f = ds.frames.withColumn("action", F.zip_with("action", numbers(ctx.scale), lambda a, s: a / s))
     return S.resampled(f, 50).select("episode_index", *_long("k"), _r(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
 
@@ -605,7 +608,7 @@ def merge_stats(spark, sf_dir):
 
 @query(_sql(_SP, f"SELECT tr.ep AS episode_index, round(tr.ep + s / {FPS}e0, {R}) AS span_start, round(tr.ep + length / {FPS}e0 - (length - e) / {FPS}e0, {R}) AS span_end FROM tr JOIN im USING (ep)"))
 def span_narrowing(spark, sf_dir):
-    ds, ctx = _supp(spark, sf_dir)
+    ds, ctx = _supp(spark, sf_dir, "idle")
     trims = C.idle(ds, ctx, CFG)[0].where("trim_start is not null").select("episode_index", "trim_start", "trim_end").join(C.lengths(ds), "episode_index")
     start, end = merge.narrowed(F.col("episode_index").cast("double"), F.col("episode_index") + F.col("length") / F.lit(FPS), "trim_start", "trim_end", "length", FPS)
     return trims.select("episode_index", _r(start).alias("span_start"), _r(end).alias("span_end"))
