@@ -4,8 +4,10 @@ import numpy as np
 import pytest
 
 from framewright import queries as Q
+from framewright.operators import checks as C
 from framewright.operators import context as X
 from framewright.operators import quantiles
+from framewright.operators import signals as S
 from tests.oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -53,3 +55,8 @@ def test_a_context_grows_by_parts(spark, written):
     assert written == ["moves"] and more.scale == some.scale and more.idle_speed > 0
     _, every = Q._supp(spark, SF)
     assert every == X.build(ds, Q.CFG) and Q._supp(spark, SF, "scale")[1] == every
+
+
+def test_idle_runs_need_no_steps_and_no_stale_baseline(spark, written):
+    assert compare(spark, connect(SF), SF, Q.idle_runs, Q.SQL["idle_runs"]) is None
+    assert written == ["moves"] and Q._kept.popitem()[1].parts == {"scale", "idle"}
