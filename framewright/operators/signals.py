@@ -137,26 +137,26 @@ def best_lags(ds: Dataset, ctx: Context, cfg: Config) -> DataFrame:
     correlations the least lag counts. Episodes of 10 frames and more with an overlap of 10.
     """
     a_dims, s_dims = ctx.sync_dims
-    n_dims, most = len(a_dims), max(1, half_even(cfg.sync_max_lag_s * ds.fps))
-    w = by_episode()
+    most, w = max(1, half_even(cfg.sync_max_lag_s * ds.fps)), by_episode()
+    lags, at = list(range(-most, most + 1)), lambda c, i: F.get(F.col(c), F.lit(i))
     pick = lambda c, dims: F.array(*[F.get(c, F.lit(d)) for d in dims])
+    minus = lambda c, p: F.array(*[at(c, i) - at(p, i) for i in range(len(a_dims))])
     f = ds.frames.where(f"size(action) > {max(a_dims)} and size(state) > {max(s_dims)}").select("episode_index", "pos", pick("action", a_dims).alias("a"), pick("state", s_dims).alias("s"))
-    minus = lambda c: F.zip_with(c, F.lag(c).over(w), lambda x, y: x - y)
-    f = f.withColumn("n", F.count("*").over(Window.partitionBy("episode_index"))).where("n >= 10").select("episode_index", "pos", minus("a").alias("a"), minus("s").alias("s")).where("a is not null")
-    shifted = F.array(*[F.struct(F.lit(k).alias("lag"), F.lead("s", k).over(w).alias("s") if k > 0 else F.lag("s", -k).over(w).alias("s") if k < 0 else F.col("s").alias("s")) for k in range(-most, most + 1)])
-    whole = f.groupBy("episode_index").agg(*[F.stddev_pop(F.get("a", F.lit(i))).alias(f"w{i}") for i in range(n_dims)])
-    each = f.select("episode_index", "a", shifted.alias("xs")).select("episode_index", "a", F.explode("xs").alias("x")).where("x.s is not null")
-    at = lambda c, i: F.get(F.col(c), F.lit(i))
-    sums = [g for i in range(n_dims) for g in (F.covar_pop(at("a", i), at("x.s", i)).alias(f"c{i}"), F.stddev_pop(at("a", i)).alias(f"a{i}"), F.stddev_pop(at("x.s", i)).alias(f"s{i}"))]
-    g = each.groupBy("episode_index", F.col("x.lag").alias("lag")).agg(F.count("*").alias("n"), *sums).where("n >= 10").join(whole, "episode_index")
-    r = [F.when(sure(F.col(f"w{i}") > TINY) & sure(F.col(f"s{i}") > TINY), F.when(F.col("n") * F.col(f"a{i}") * F.col(f"s{i}") > TINY, F.try_divide(F.col(f"c{i}"), F.col(f"a{i}") * F.col(f"s{i}"))).otherwise(F.lit(0.0))) for i in range(n_dims)]
-    mean = F.array_compact(F.array(*r))
-    moves = F.exists(F.array(*[sure(F.col(f"w{i}") > TINY) for i in range(n_dims)]), lambda x: x)
-    g = g.withColumn("r", mean).withColumn("moves", moves)
-    g = g.withColumn("corr", F.when(F.size("r") > 0, F.try_divide(F.aggregate("r", F.lit(0.0), lambda s, x: s + x), F.size("r"))))
-    best = g.where("moves and corr is not null").groupBy("episode_index").agg(F.max(F.struct("corr", (-F.col("lag")).alias("m"))).alias("b")).select("episode_index", (-F.col("b.m")).alias("lag"), F.col("b.corr").alias("corr"))
-    still = whole.where(~F.exists(F.array(*[sure(F.col(f"w{i}") > TINY) for i in range(n_dims)]), lambda x: x)).select("episode_index", F.lit(0).alias("lag"), F.lit(0.0).alias("corr"))
-    return best.unionByName(still)
+    f = f.select("*", F.lag("a").over(w).alias("pa"), F.lag("s").over(w).alias("ps")).where("pa is not null").select("episode_index", "pos", minus("a", "pa").alias("a"), minus("s", "ps").alias("s"))
+    f = f.select("episode_index", "a", *[(F.lead("s", k).over(w) if k > 0 else F.lag("s", -k).over(w) if k < 0 else F.col("s")).alias(f"s{j}") for j, k in enumerate(lags)])
+    shifted = F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"s{j}").alias("s")) for j, k in enumerate(lags)])
+    each = f.select("episode_index", "a", F.explode(shifted).alias("x")).where("x.s is not null").select("episode_index", "x.lag", *[g for i in range(len(a_dims)) for g in (at("a", i).alias(f"a{i}"), at("x.s", i).alias(f"s{i}"))])
+    per = [F.struct(F.covar_pop(f"a{i}", f"s{i}").alias("c"), F.stddev_pop(f"a{i}").alias("a"), F.stddev_pop(f"s{i}").alias("s")) for i in range(len(a_dims))]
+    g = each.groupBy("episode_index", "lag").agg(F.count("*").alias("n"), F.array(*per).alias("per"))
+    # Without a lag all velocities of the action are there: their number, and which dimensions move.
+    whole = F.max(F.when(F.col("lag") == 0, F.struct("n", F.transform("per", lambda y: sure(y["a"] > TINY)).alias("moves")))).over(Window.partitionBy("episode_index"))
+    g = g.withColumn("whole", whole).where("whole.n >= 9")
+    r = F.zip_with("per", "whole.moves", lambda y, m: F.when(m & sure(y["s"] > TINY), F.when(F.col("n") * y["a"] * y["s"] > TINY, F.try_divide(y["c"], y["a"] * y["s"])).otherwise(F.lit(0.0))))
+    g = g.select("episode_index", "lag", "n", F.exists("whole.moves", lambda m: m).alias("moves"), F.array_compact(r).alias("r"))
+    corr = F.when(F.size("r") > 0, F.try_divide(F.aggregate("r", F.lit(0.0), lambda t, x: t + x), F.size("r")))
+    g = g.select("episode_index", "lag", "moves", F.when(F.col("n") >= 10, corr).alias("corr"))
+    g = g.groupBy("episode_index").agg(F.max("moves").alias("moves"), F.max(F.when(F.col("corr").isNotNull(), F.struct("corr", (-F.col("lag")).alias("m")))).alias("b")).where("not moves or b is not null")
+    return g.select("episode_index", F.when(F.col("moves"), -F.col("b.m")).otherwise(0).alias("lag"), F.when(F.col("moves"), F.col("b.corr")).otherwise(F.lit(0.0)).alias("corr"))
 
 
 def resampled(frames: DataFrame, n: int, value: str = "action") -> DataFrame:

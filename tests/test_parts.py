@@ -60,3 +60,26 @@ def test_a_context_grows_by_parts(spark, written):
 def test_idle_runs_need_no_steps_and_no_stale_baseline(spark, written):
     assert compare(spark, connect(SF), SF, Q.idle_runs, Q.SQL["idle_runs"]) is None
     assert written == ["moves"] and Q._kept.popitem()[1].parts == {"scale", "idle"}
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lags_are_one_pass(spark, written):
+    df = Q.sync_baseline(spark, SF)
+    assert plan(df).count("Generate") == 1 and plan(df).count("Relation [") == 1 and not written  # no join with the whole, no union, no scale
+    assert compare(spark, connect(SF), SF, Q.sync_baseline, Q.SQL["sync_baseline"]) is None
+
+
+def test_lags_of_still_and_short_episodes(spark):
+    from framewright.dataset import Dataset
+
+    move = [float(i * i % 7) for i in range(30)]
+    rows = [(1, i, [x, 2.0], [move[max(0, i - 2)], 2.0]) for i, x in enumerate(move)]
+    rows += [(2, i, [1.0, 1.0], [float(i % 3), 0.0]) for i in range(10)]  # still: lag 0, correlation 0
+    rows += [(3, i, [float(i % 3), 0.0], [float(i % 3), 0.0]) for i in range(9)]  # too short
+    rows += [(4, i, [float(i % 3), 0.0], [float(i % 3), 0.0]) for i in range(10)]  # 9 velocities overlap
+    ds = Dataset(spark.createDataFrame(rows, "episode_index bigint, pos int, action array<double>, state array<double>"), None, 10.0)
+    got = {r.episode_index: (r.lag, round(r["corr"], 6)) for r in S.best_lags(ds, X.Context(10.0, None, None, sync_dims=([0, 1], [0, 1])), Q.CFG).collect()}
+    assert got == {1: (2, 1.0), 2: (0, 0.0)}
