@@ -106,28 +106,40 @@ def jerkiness(ds: Dataset, ctx: Context, trims: DataFrame | None = None) -> Data
     return g.select("episode_index", F.when((F.col("peak") >= TINY) & finite(ldlj), ldlj).alias("ldlj"))
 
 
+def beyond(v, mid, band, first):
+    """True above mid + band, false below mid - band, null between; of the first frame, whether it is above mid."""
+    return F.when(v > mid + band, True).when(v < mid - band, False).when(first, v > mid)
+
+
 def hysteresis(df: DataFrame, value: str, mid, band, order: str = "pos", partition=("episode_index",)) -> DataFrame:
     """df with `open`: true above mid + band, false below mid - band, else as before; at first, above mid."""
     w = Window.partitionBy(*partition).orderBy(order)
-    v = F.col(value)
-    sure_ = F.when(v > mid + band, True).when(v < mid - band, False).when(F.row_number().over(w) == 1, v > mid)
-    return df.withColumn("_s", sure_).withColumn("open", F.last("_s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_s")
+    return df.withColumn("_s", beyond(F.col(value), mid, band, F.row_number().over(w) == 1)).withColumn("open", F.last("_s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_s")
 
 
 def toggles(ds: Dataset, ctx: Context, cfg: Config) -> DataFrame:
     """episode_index, dim, edges, most: toggles of each gripper dimension that moves, and the most of them within the window."""
-    f = ds.frames.where("action is not null")
-    each = F.array(*[F.struct(F.lit(d).alias("dim"), F.get("action", F.lit(d)).alias("v"), F.lit(ctx.scale[d]).cast("double").alias("scale")) for d in ctx.grippers if d < len(ctx.scale)])
-    f = f.select("episode_index", "pos", "timestamp", F.explode(each).alias("x")).select("episode_index", "pos", "timestamp", "x.*")
-    all_ = Window.partitionBy("episode_index", "dim")
-    f = f.withColumn("hi", F.max("v").over(all_)).withColumn("lo", F.min("v").over(all_)).withColumn("n", F.count("*").over(all_))
-    span = F.col("hi") - F.col("lo")
-    f = f.where((F.col("n") >= 5) & F.col("scale").isNotNull() & ~F.isnan("hi") & (span >= cfg.gripper_active_frac * F.col("scale")))
-    f = hysteresis(f, "v", (F.col("hi") + F.col("lo")) / 2, cfg.gripper_hysteresis_frac * span, partition=("episode_index", "dim"))
-    w = all_.orderBy("pos")
-    edge = f.where("v is not null").withColumn("before", F.lag("open").over(w)).where("before <> open")
+    f, dims = ds.frames.where("action is not null"), [d for d in ctx.grippers if d < len(ctx.scale) and ctx.scale[d] is not None]
+    w = Window.partitionBy("episode_index").orderBy("pos")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # in the order that the toggles need
+    f = f.select("episode_index", "pos", "timestamp", *[F.get("action", F.lit(d)).alias(f"v{d}") for d in dims])
+    f = f.select("*", F.count("*").over(whole).alias("n"), F.row_number().over(w).alias("i"), *[g(f"v{d}").over(whole).alias(f"{name}{d}") for d in dims for g, name in ((F.max, "hi"), (F.min, "lo"))])
+    each = []
+    for d in dims:
+        v, hi, lo = (F.col(f"{c}{d}") for c in ("v", "hi", "lo"))
+        moves = (F.col("n") >= 5) & ~F.isnan(hi) & (hi - lo >= cfg.gripper_active_frac * F.lit(float(ctx.scale[d])))
+        each.append(F.when(moves, F.struct(F.lit(d).alias("dim"), beyond(v, (hi + lo) / 2, cfg.gripper_hysteresis_frac * (hi - lo), F.col("i") == 1).alias("open"))))
+    if not each:
+        return f.sparkSession.createDataFrame([], "episode_index bigint, dim int, edges bigint, most bigint")
+    f = f.withColumn("x", F.explode(F.array(*each))) if len(each) > 1 else f.withColumn("x", each[0])
+    # Between the bounds a gripper stays as it is, so these frames can be left out.
+    f = f.where("x.open is not null").select("episode_index", "x.dim", "pos", "timestamp", "x.open")
+    if len(each) == 1:
+        f = f.withColumn("before", F.lag("open").over(w))
+    else:
+        f = f.withColumn("before", F.lag("open").over(Window.partitionBy("episode_index", "dim").orderBy("pos")))
     near = F.expr(f"count(*) over (partition by episode_index, dim order by timestamp range between {float(cfg.gripper_chatter_window_s)!r}D preceding and current row)")
-    return edge.withColumn("c", near).groupBy("episode_index", "dim").agg(F.count("*").alias("edges"), F.max("c").alias("most"))
+    return f.where("before <> open").withColumn("c", near).groupBy("episode_index", "dim").agg(F.count("*").alias("edges"), F.max("c").alias("most"))
 
 
 def best_lags(ds: Dataset, ctx: Context, cfg: Config) -> DataFrame:

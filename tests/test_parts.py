@@ -83,3 +83,17 @@ def test_lags_of_still_and_short_episodes(spark):
     ds = Dataset(spark.createDataFrame(rows, "episode_index bigint, pos int, action array<double>, state array<double>"), None, 10.0)
     got = {r.episode_index: (r.lag, round(r["corr"], 6)) for r in S.best_lags(ds, X.Context(10.0, None, None, sync_dims=([0, 1], [0, 1])), Q.CFG).collect()}
     assert got == {1: (2, 1.0), 2: (0, 0.0)}
+
+
+def test_toggles_need_only_scales_and_no_row_for_each_dimension(spark, written):
+    df = Q.sliding_toggle_count(spark, SF)
+    assert not written and "Generate" not in plan(df) and Q._kept.popitem()[1].parts == {"scale"}
+    assert compare(spark, connect(SF), SF, Q.sliding_toggle_count, Q.SQL["sliding_toggle_count"]) is None
+
+
+def test_toggles_of_several_grippers(spark):
+    from dataclasses import replace
+
+    ds, ctx = Q._supp(spark, SF, "scale")
+    toggles = lambda *dims: {tuple(r) for r in S.toggles(ds, replace(ctx, grippers=list(dims)), Q.CFG).collect()}
+    assert toggles(0, 2, 3) == toggles(0) | toggles(2) | toggles(3) and toggles(0) and not toggles()
