@@ -166,7 +166,7 @@ def sync(ds: Dataset, ctx: Context, cfg: Config):
 def gripper_chatter(ds: Dataset, ctx: Context, cfg: Config):
     if ctx.scale is None or not [d for d in ctx.grippers if d < len(ctx.scale)]:
         return None, None
-    t = signals.toggles(ds, ctx, cfg).where(F.col("edges") >= cfg.gripper_chatter_min_toggles)
+    t = write_and_read(signals.toggles(ds, ctx, cfg).where(F.col("edges") >= cfg.gripper_chatter_min_toggles), "toggles")  # the metrics and the flag
     m = t.groupBy("episode_index").agg(F.max(F.struct("most", (-F.col("dim")).alias("m"))).alias("x")).select("episode_index", F.col("x.most").alias("gripper_toggles_per_window"), (-F.col("x.m")).alias("dim"))
     n = F.col("gripper_toggles_per_window")
     text = F.format_string(f"gripper toggled %dx within {cfg.gripper_chatter_window_s:.1f}s (dim %d); chatter rather than a deliberate grasp?", n, F.col("dim"))

@@ -97,3 +97,11 @@ def test_toggles_of_several_grippers(spark):
     ds, ctx = Q._supp(spark, SF, "scale")
     toggles = lambda *dims: {tuple(r) for r in S.toggles(ds, replace(ctx, grippers=list(dims)), Q.CFG).collect()}
     assert toggles(0, 2, 3) == toggles(0) | toggles(2) | toggles(3) and toggles(0) and not toggles()
+
+
+def test_gripper_check_computes_toggles_once(spark, monkeypatch):
+    names, write = [], C.write_and_read
+    monkeypatch.setattr(C, "write_and_read", lambda df, name: names.append(name) or write(df, name))
+    df = Q.gripper_check(spark, SF)
+    assert names == ["toggles"] and "Window" not in plan(df)
+    assert compare(spark, connect(SF), SF, Q.gripper_check, Q.SQL["gripper_check"]) is None
