@@ -93,14 +93,15 @@ def jerkiness(ds: Dataset, ctx: Context, trims: DataFrame | None = None) -> Data
     f = ds.frames.where("action is not null")
     if trims is not None:
         f = f.join(trims, "episode_index", "left").where("trim_start is null or (pos >= trim_start and pos < trim_end)")
-    x = F.zip_with(F.array(*[F.get("action", F.lit(i)) for i in live]), numbers([ctx.scale[i] for i in live]), lambda a, s: a / s)
     w = by_episode()
-    f = f.select("episode_index", "pos", x.alias("x"))
+    f = f.select("episode_index", "pos", F.array(*[F.get("action", F.lit(i)) / F.lit(float(ctx.scale[i])) for i in live]).cast("array<double>").alias("x"))
     f = f.select("episode_index", "x", *[F.lag("x", k).over(w).alias(f"x{k}") for k in (1, 2, 3)])
-    dt = 1.0 / ds.fps
-    vel = F.transform(F.zip_with("x", "x1", lambda a, b: a - b), lambda d: d / F.lit(dt))
-    jerk = F.transform(F.zip_with(F.zip_with("x", "x1", lambda a, b: a - 3 * b), F.zip_with("x2", "x3", lambda a, b: 3 * a - b), lambda a, b: a + b), lambda d: d / F.lit(dt**3))
-    g = f.groupBy("episode_index").agg(F.count("*").alias("n"), F.max(F.sqrt(norm2(vel))).alias("peak"), F.sum(norm2(jerk)).alias("j")).where("n >= 10")
+    dt, vel2, jerk2 = 1.0 / ds.fps, F.when(F.col("x1").isNotNull(), F.lit(0.0)), F.when(F.col("x3").isNotNull(), F.lit(0.0))
+    for i in range(len(live)):
+        x, x1, x2, x3 = (F.get(c, F.lit(i)) for c in ("x", "x1", "x2", "x3"))
+        vel, jerk = (x - x1) / F.lit(dt), ((x - 3 * x1) + (3 * x2 - x3)) / F.lit(dt**3)
+        vel2, jerk2 = vel2 + vel * vel, jerk2 + jerk * jerk
+    g = f.groupBy("episode_index").agg(F.count("*").alias("n"), F.max(F.sqrt(vel2)).alias("peak"), F.sum(jerk2).alias("j")).where("n >= 10")
     t = F.col("n") * dt
     ldlj = -F.ln(F.try_divide(t * t * t, F.col("peak") * F.col("peak")) * (F.col("j") * dt) + 1e-12)
     return g.select("episode_index", F.when((F.col("peak") >= TINY) & finite(ldlj), ldlj).alias("ldlj"))

@@ -105,3 +105,22 @@ def test_gripper_check_computes_toggles_once(spark, monkeypatch):
     df = Q.gripper_check(spark, SF)
     assert names == ["toggles"] and "Window" not in plan(df)
     assert compare(spark, connect(SF), SF, Q.gripper_check, Q.SQL["gripper_check"]) is None
+
+
+def test_jerk_needs_only_scales_and_no_function_of_arrays(spark, written):
+    df = Q.ldlj(spark, SF)
+    assert not written and "lambda" not in plan(df) and Q._kept.popitem()[1].parts == {"scale"}
+    assert compare(spark, connect(SF), SF, Q.ldlj, Q.SQL["ldlj"]) is None
+
+
+def test_jerk_of_missing_numbers(spark):
+    from framewright.dataset import Dataset
+
+    rows = [(e, i, [float(i * i % 7), None if e == 2 and i == 20 else 1.0 * (i % 2), 3.0]) for e in (1, 2) for i in range(40)] + [(3, i, [1.0, 1.0, 1.0]) for i in range(12)]
+    ds = Dataset(spark.createDataFrame(rows, "episode_index bigint, pos int, action array<double>"), None, 10.0)
+    got = {r.episode_index: r.ldlj for r in S.jerkiness(ds, X.Context(10.0, [1.0, 2.0, None], None)).collect()}
+    a = np.array([r[2] for r in rows if r[0] == 1])[:, :2] / [1.0, 2.0]
+    v2, j2 = ((np.diff(a, axis=0) * 10) ** 2).sum(1), ((np.diff(a, 3, axis=0) * 1000) ** 2).sum(1)
+    ldlj = lambda ok: -np.log(4.0**3 / v2.max() * j2[ok].sum() * 0.1)
+    assert np.isclose(got[1], ldlj(slice(None))) and got[3] is None
+    assert np.isclose(got[2], ldlj([i for i in range(37) if not i <= 20 <= i + 3]))
