@@ -123,17 +123,23 @@ def idle(ds: Dataset, ctx: Context, cfg: Config):
     return m.drop("length", "dead", "free"), flags
 
 
-def smoothness(ds: Dataset, ctx: Context, cfg: Config, trims: DataFrame | None = None):
+def abruptness(ds: Dataset, ctx: Context, cfg: Config):
+    """Spikes and jumps."""
     if ctx.scale is None:
         return None, None
     size = ds.frames.where("action is not null").groupBy("episode_index").agg(F.count("*").alias("n")).where("n >= 3").select("episode_index")
     m = size.join(signals.spikes_and_jumps(ds, ctx, cfg), "episode_index", "left").select("episode_index", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("spikes", "jumps")])
+    m = write_and_read(m, "abruptness")  # the metrics and two flags
     o = ORD["smoothness"]
-    flags = union(
+    return m, union(
         flag(m, F.col("spikes") > 0, "smoothness", "warn", F.format_string("%d single-frame action spike(s) (sensor glitch?)", "spikes"), F.least(F.lit(25.0), 8.0 * F.col("spikes")), o),
         flag(m, F.col("jumps") > 0, "smoothness", "warn", F.format_string("%d abrupt action jump(s)", "jumps"), F.least(F.lit(20.0), 5.0 * F.col("jumps")), o + 1),
     )
-    return m.join(signals.jerkiness(ds, ctx, trims), "episode_index", "left"), flags
+
+
+def smoothness(ds: Dataset, ctx: Context, cfg: Config, trims: DataFrame | None = None):
+    m, flags = abruptness(ds, ctx, cfg)
+    return (None, None) if m is None else (m.join(signals.jerkiness(ds, ctx, trims), "episode_index", "left"), flags)
 
 
 def stale_state(ds: Dataset, ctx: Context, cfg: Config):

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from framewright.config import Config
 from framewright.dataset import Dataset
-from framewright.functions.scalars import TINY, finite, half_even, norm2, numbers, sure, wrap
+from framewright.functions.scalars import TINY, finite, half_even, sure, wrap
 from framewright.operators.context import Context, by_episode, speeds, with_previous
+from framewright.tables import write_and_read
 
 
 def runs(df: DataFrame, flag: str, order: str = "pos") -> DataFrame:
@@ -40,12 +41,11 @@ def idling(ds: Dataset, ctx: Context, cfg: Config) -> DataFrame:
 def steps(ds: Dataset, ctx: Context, cfg: Config) -> DataFrame:
     """episode_index, t, step (scaled, wrapped where angular), big: whether each dimension's step is large."""
     f = with_previous(ds.frames).where("prev is not null and action is not null")
-    diff = F.zip_with("action", "prev", lambda a, b: a - b)
-    if any(ctx.angular):
-        diff = F.zip_with(diff, F.array(*[F.lit(a) for a in ctx.angular]), lambda d, a: F.when(a, wrap(d)).otherwise(d))
-    f = f.withColumn("step", F.zip_with(diff, numbers(ctx.scale), lambda d, s: d / s))
-    limit = numbers([None if p is None else cfg.spike_factor * p for p in ctx.step_p99])
-    f = f.withColumn("big", F.zip_with("step", limit, lambda s, p: sure(~F.isnan(s) & (F.abs(s) > p))))
+    angular = [*ctx.angular, *[False] * len(ctx.scale)]
+    diff = [F.get("action", F.lit(i)) - F.get("prev", F.lit(i)) for i in range(len(ctx.scale))]
+    f = f.withColumn("step", F.array(*[F.lit(None).cast("double") if s is None else (wrap(d) if angular[i] else d) / F.lit(float(s)) for i, (d, s) in enumerate(zip(diff, ctx.scale, strict=True))]).cast("array<double>"))
+    at = [F.get("step", F.lit(i)) for i in range(len(ctx.scale))]
+    f = f.withColumn("big", F.array(*[F.lit(False) if p is None else sure(~F.isnan(s) & (F.abs(s) > float(cfg.spike_factor * p))) for s, p in zip(at, ctx.step_p99, strict=True)]).cast("array<boolean>"))
     for x, z in ctx.angular_pairs:
         a, b, pa, pb = (F.get(c, F.lit(i)) for c, i in (("action", x), ("action", z), ("prev", x), ("prev", z)))
         apart, together = F.abs(wrap((a - b) - (pa - pb))), F.abs(wrap((a + b) - (pa + pb)))
@@ -75,7 +75,7 @@ def bridged_frames(big: DataFrame, max_gap: int) -> DataFrame:
 
 def spikes_and_jumps(ds: Dataset, ctx: Context, cfg: Config) -> DataFrame:
     """episode_index, spikes, jumps, for episodes that have any. The two frames of a spike are in no jump."""
-    big = big_steps(ds, ctx, cfg)
+    big = write_and_read(big_steps(ds, ctx, cfg), "big-steps")  # read three times; few rows
     spikes = spike_frames(big)
     consumed = spikes.select("episode_index", F.explode(F.array(F.col("t"), F.col("t") + 1)).alias("t"))
     left = bridged_frames(big, cfg.smoothness_ramp_gap_frames).join(consumed, ["episode_index", "t"], "left_anti").withColumn("on", F.lit(True))

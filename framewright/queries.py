@@ -276,7 +276,7 @@ def bridged_jumps(spark, sf_dir):
 FROM (SELECT n.ep, coalesce(k.n, 0) AS spikes, coalesce(jumps, 0) AS jumps FROM (SELECT ep FROM f GROUP BY ep HAVING count(*) >= 3) n LEFT JOIN (SELECT ep, count(*) AS n FROM sk GROUP BY ep) k USING (ep) LEFT JOIN jm USING (ep))"""))
 def smoothness_check(spark, sf_dir):
     ds, ctx = _supp(spark, sf_dir, "steps")
-    m, flags = C.smoothness(ds, ctx, CFG)
+    m, flags = C.abruptness(ds, ctx, CFG)
     p = flags.groupBy("episode_index").agg(F.sum("penalty").alias("penalty"))
     return m.join(p, "episode_index", "left").select("episode_index", *_long("spikes", "jumps"), F.coalesce("penalty", F.lit(0.0)).alias("penalty"))
 

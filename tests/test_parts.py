@@ -124,3 +124,12 @@ def test_jerk_of_missing_numbers(spark):
     ldlj = lambda ok: -np.log(4.0**3 / v2.max() * j2[ok].sum() * 0.1)
     assert np.isclose(got[1], ldlj(slice(None))) and got[3] is None
     assert np.isclose(got[2], ldlj([i for i in range(37) if not i <= 20 <= i + 3]))
+
+
+def test_smoothness_finds_large_steps_once(spark, written, monkeypatch):
+    found, big_steps = [], S.big_steps
+    monkeypatch.setattr(S, "big_steps", lambda *a: found.append(big_steps(*a)) or found[-1])
+    df = Q.smoothness_check(spark, SF)
+    assert len(found) == 1
+    assert "Window" not in plan(df) and Q._kept.popitem()[1].parts == {"scale", "steps"}
+    assert compare(spark, connect(SF), SF, Q.smoothness_check, Q.SQL["smoothness_check"]) is None
