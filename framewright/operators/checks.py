@@ -146,10 +146,10 @@ def stale_state(ds: Dataset, ctx: Context, cfg: Config):
     if ctx.scale is None:
         return None, None
     f = with_previous(ds.frames).withColumn("prev_state", F.lag("state").over(by_episode())).where("prev is not null and prev_state is not null")
-    f = f.select("episode_index", "pos", stale_column(ctx).alias("stale"))
+    f = write_and_read(f.select("episode_index", "pos", stale_column(ctx).alias("stale")), "stale")  # read twice
     m = f.groupBy("episode_index").agg(F.avg(F.col("stale").cast("double")).alias("stale_state_fraction"), F.count("*").alias("n")).where("n >= 2")
     longest = signals.runs(f, "stale").groupBy("episode_index").agg(F.max(F.col("end") - F.col("begin")).alias("longest"))
-    m = m.join(longest, "episode_index", "left").withColumn("longest", F.coalesce("longest", F.lit(0)))
+    m = write_and_read(m.join(longest, "episode_index", "left").withColumn("longest", F.coalesce("longest", F.lit(0))), "stale-metrics")
     excess = F.col("stale_state_fraction") - F.lit(ctx.stale_baseline)
     note = F.concat(F.lit("; dataset baseline "), percent(F.lit(ctx.stale_baseline))) if ctx.stale_baseline > 1e-9 else F.lit("")
     text = F.concat(F.lit("observation.state frozen on "), percent(F.col("stale_state_fraction")), F.format_string(" of moving frames (longest run %d frames)", "longest"), note)

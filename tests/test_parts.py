@@ -133,3 +133,11 @@ def test_smoothness_finds_large_steps_once(spark, written, monkeypatch):
     assert len(found) == 1
     assert "Window" not in plan(df) and Q._kept.popitem()[1].parts == {"scale", "steps"}
     assert compare(spark, connect(SF), SF, Q.smoothness_check, Q.SQL["smoothness_check"]) is None
+
+
+def test_stale_frames_are_computed_once(spark, monkeypatch):
+    names, write = [], C.write_and_read
+    monkeypatch.setattr(C, "write_and_read", lambda df, name: names.append(name) or write(df, name))
+    df = Q.stale_check(spark, SF)
+    assert names == ["stale", "stale-metrics"] and "Window" not in plan(df)
+    assert compare(spark, connect(SF), SF, Q.stale_check, Q.SQL["stale_check"]) is None
