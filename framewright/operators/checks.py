@@ -159,7 +159,7 @@ def stale_state(ds: Dataset, ctx: Context, cfg: Config):
 def sync(ds: Dataset, ctx: Context, cfg: Config):
     if ctx.sync_dims is None:
         return None, None
-    m = signals.best_lags(ds, ctx, cfg)
+    m = write_and_read(signals.best_lags(ds, ctx, cfg), "lags")  # the baseline, the metrics and the flag
     base = m.agg(F.when(F.count("corr") >= 5, F.median("corr")).alias("baseline"))
     m = m.join(F.broadcast(base))  # one row
     low = (F.col("corr") < cfg.sync_min_peak_corr) & (F.col("baseline").isNull() | (F.col("baseline") - F.col("corr") > cfg.sync_corr_min_drop))

@@ -141,3 +141,11 @@ def test_stale_frames_are_computed_once(spark, monkeypatch):
     df = Q.stale_check(spark, SF)
     assert names == ["stale", "stale-metrics"] and "Window" not in plan(df)
     assert compare(spark, connect(SF), SF, Q.stale_check, Q.SQL["stale_check"]) is None
+
+
+def test_sync_reads_its_lags_from_a_table(spark, monkeypatch):
+    names, write = [], C.write_and_read
+    monkeypatch.setattr(C, "write_and_read", lambda df, name: names.append(name) or write(df, name))
+    df = Q.sync_check(spark, SF)
+    assert names == ["lags"] and "Window" not in plan(df)
+    assert compare(spark, connect(SF), SF, Q.sync_check, Q.SQL["sync_check"]) is None
