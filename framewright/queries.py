@@ -21,6 +21,7 @@ from framewright.operators import signals as S
 from framewright.plans import merge
 from framewright.plans.score import evaluate, score_column
 from framewright.sources import tables as T
+from framewright.tables import write_and_read
 
 FPS = 10.0
 CFG = Config().override(idle_fraction_of_p75=0.8, spike_factor=0.95, max_idle_fraction=0.3, min_trimmable_idle_s=0.2, trim_pad_s=0.1, max_pause_s=0.5, stale_state_max_fraction=-0.01, sync_lag_outlier_frames=1.0, outlier_z=1.0, jerk_z=-1.0, min_ldlj_diff=0.01, min_relative_length_diff=0.01, gripper_chatter_window_s=0.3, gripper_chatter_min_toggles=2, sync_min_peak_corr=0.2, dedupe_z=1.5)
@@ -420,7 +421,7 @@ def length_outliers(spark, sf_dir):
 @query(_sql(_LD + ", " + _relative_sql("SELECT ep, ldlj AS v FROM lj"), f"SELECT ep AS episode_index, round(z, 4) AS ldlj_z, z < {CFG.jerk_z}e0 AND mid - v > {CFG.min_ldlj_diff}e0 AS flagged FROM z"))
 def jerk_outliers(spark, sf_dir):
     ds, ctx = _supp(spark, sf_dir, "scale")
-    m, flags = C.jerk_outliers(S.jerkiness(ds, ctx), CFG)
+    m, flags = C.jerk_outliers(write_and_read(S.jerkiness(ds, ctx), "jerkiness"), CFG)  # read for two medians, the scores and the flags
     return m.join(flags.select("episode_index", F.lit(True).alias("flagged")), "episode_index", "left").select("episode_index", _r("ldlj_z", 4).alias("ldlj_z"), sure(F.col("flagged")).alias("flagged"))
 
 

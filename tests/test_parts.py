@@ -149,3 +149,11 @@ def test_sync_reads_its_lags_from_a_table(spark, monkeypatch):
     df = Q.sync_check(spark, SF)
     assert names == ["lags"] and "Window" not in plan(df)
     assert compare(spark, connect(SF), SF, Q.sync_check, Q.SQL["sync_check"]) is None
+
+
+def test_jerk_outliers_compute_jerk_once(spark, monkeypatch):
+    names, write = [], Q.write_and_read
+    monkeypatch.setattr(Q, "write_and_read", lambda df, name: names.append(name) or write(df, name))
+    df = Q.jerk_outliers(spark, SF)
+    assert names == ["jerkiness"] and "Window" not in plan(df)
+    assert compare(spark, connect(SF), SF, Q.jerk_outliers, Q.SQL["jerk_outliers"]) is None
