@@ -99,3 +99,51 @@ def test_shuffled_templates(spark, monkeypatch):
     plain = {r.page_id: r.text for r in H.extract(df).collect()}
     monkeypatch.setattr(H, "BROADCAST_ROWS", 0)
     assert {r.page_id: r.text for r in H.extract(df).collect()} == plain
+
+
+def extracted(spark, pages):
+    """Texts of pages of one host."""
+    df = spark.createDataFrame([(i, f"http://a.example/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in sorted(H.extract(df).collect(), key=lambda r: r.page_id)]
+
+
+def test_template_decides_in_articles(spark):
+    """A notice without a name that would tell is left out of articles; headings and paragraphs that repeat, and articles that are alike, stay."""
+    page = "<html><body><article><h1>Report</h1><div>Tell your friends</div><p>Of.</p><p>story {0} is long enough to be an article, with {1}</p><p>and it ends</p></article></body></html>"
+    want = "Report\n\nOf.\n\nstory {0} is long enough to be an article, with {1}\n\nand it ends"
+    assert extracted(spark, [page.format(i, "words " * 20 + str(i)) for i in range(6)]) == [want.format(i, "words " * 20 + str(i)) for i in range(6)]
+    alike = "<article><h1>T</h1><div>All of these articles say the very same in a long text</div><p>{0}</p></article>"
+    assert extracted(spark, [alike.format(i) for i in range(6)]) == [f"T\n\nAll of these articles say the very same in a long text\n\n{i}" for i in range(6)]
+
+
+def test_copies_are_no_template(spark):
+    page = "<html><body><h1>Title</h1><div>the only text</div><p>of this host</p><!-- {0} --><script>track({0})</script></body></html>"
+    assert extracted(spark, [page.format(i) for i in range(5)]) == ["Title\n\nthe only text\n\nof this host"] * 5
+
+
+def test_layouts_on_less_than_half_of_the_pages(spark):
+    pages = [f"<html><body><div class=l{i % 3}><div>Layout {i % 3} says hello</div><p>story {i}</p><span>x</span><b>{i}</b></div></body></html>" for i in range(15)]
+    assert extracted(spark, pages) == [f"story {i}\n\nx{i}" for i in range(15)]
+
+
+def test_slots_of_one_path(spark):
+    """A list is no menu for standing under a menu's path: the heading between them makes two slots."""
+    menu = "".join(f"<li><a href=/{k}>a section of the site, number {k}</a></li>" for k in range(9))
+    pages = [f"<html><body><ul>{menu}<li>here</li></ul><h2>How {i}</h2><ul><li>take {i}</li><li>stir {i * i}</li></ul></body></html>" for i in range(5)]
+    assert extracted(spark, pages) == [f"How {i}\n\ntake {i}\n\nstir {i * i}" for i in range(5)]
+
+
+def test_order_of_classes(spark):
+    """Of a class, tokens that aren't in one order on all pages are no template, and a host's other tokens stay one."""
+    moved = ["<i>moved</i>", ""]
+    pages = [f"<html><body>{moved[i % 2]}<h4>Welcome</h4><h5>Hello</h5>{moved[1 - i % 2]}<div>story {i}</div></body></html>" for i in range(8)]
+    df = spark.createDataFrame([(i, "http://a.example/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    tags = {r.token for r in H.templates(df).collect() if r.kind == "tag" and r.depth == 0}
+    assert {">html", ">html>body", ">html>body>h4", ">html>body>h5", "/>html>body"} <= tags
+    assert not tags & {">html>body>i", "/>html>body>i"}
+    assert H._out_of_order([1, 2, 9, 3, 4]) == [2] and H._out_of_order([5, 1, 2]) == [0] and H._out_of_order([1, 2]) == []
+
+
+def test_paths_are_bounded():
+    tags, blocks = H.parse("<div class=x>" * 2000 + "deep")
+    assert len(set(tags)) == 2000 and max(map(len, tags)) <= H.PATH_CHARS and blocks[0][3] == "deep"
