@@ -2,8 +2,8 @@
 
 Pages are tokens: tags under their path, and texts under the place where they stand. A token's occurrence vector
 says how often it is on each page of its host. Tokens with the same vector are an equivalence class; a class is
-valid if it is large and frequent enough, and its tokens follow each other in one order on every page (tokens out of
-order leave it). Tags that are once on each page of a valid class are anchors. In a second round tags between
+valid if it is large and frequent enough, if its tokens follow each other in one order on every page (tokens out of
+order leave it), and if it is nested: it crosses no class that is on more pages. Tags that are once on each page of a valid class are anchors. In a second round tags between
 anchors have the role of their gap, so that an element that comes twice is told apart by where it comes, and
 their classes are nested in that gap. What lies behind an anchor under one path is a slot.
 
@@ -41,6 +41,8 @@ CLASS_TOKENS, CLASS_PAGES, CLASS_SHARE = 2, 3, 0.5
 LINK_SHARE, MENU_SHARE = 0.5, 0.9
 #: Share of the characters in a host's articles that notices may have; with more they are no notices but articles that are alike.
 NOTICE_SHARE = 0.25
+#: Pages that a notice is on, at least; on fewer, a text of an article may be the same by chance.
+NOTICE_PAGES = 5
 #: Characters of a path; longer ones are shortened to a hash, so that deep pages don't grow with the square of their depth.
 PATH_CHARS = 400
 #: Rows of templates that may be broadcast; more are joined by a shuffle, with salted hosts.
@@ -284,14 +286,15 @@ def _behind(mark: np.ndarray, begin: np.ndarray, role: np.ndarray) -> np.ndarray
     return np.where(last >= begin, role[np.maximum(last, 0)], 0)
 
 
-def walk(seq: np.ndarray, begin: np.ndarray, text: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Roles of the tokens behind anchors of the first round; which are anchors of either round; the last anchor up to each."""
+def walk(seq: np.ndarray, begin: np.ndarray, text: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Roles of the tokens behind anchors of the first round, and these (0 for anchors); which are anchors of either round; the last anchor up to each."""
     if not len(seq):
-        return seq, text, seq
+        return seq, seq, text, seq
     one = np.isin(seq, first) & ~text
-    role = np.where(one | text, seq, _refine(seq, _behind(one, begin, seq)))
+    gap = np.where(one | text, 0, _behind(one, begin, seq))
+    role = np.where(one | text, seq, _refine(seq, gap))
     anchor = one | (np.isin(role, second) & ~text)
-    return role, anchor, _behind(anchor, begin, role)
+    return role, gap, anchor, _behind(anchor, begin, role)
 
 
 #: Arrays of a host's template: anchors of both rounds, texts that are left out (in articles), and slots that are menus.
@@ -333,9 +336,9 @@ class Pages:
         self.text = np.zeros(len(self.seq), dtype=bool)
         self.text[self.block] = True
         one, two = (np.unique(_values(column[c])[0]) if c in column else np.zeros(0, np.int64) for c in ("first", "second"))
-        self.role, self.used, self.slot = self.seq, ~self.text, None
+        self.role, self.used, self.slot, self.gap = self.seq, ~self.text, None, None
         if turn > 1:
-            self.role, anchor, last = walk(self.seq, begin, self.text, one, two)
+            self.role, self.gap, anchor, last = walk(self.seq, begin, self.text, one, two)
             if turn == 3:
                 # Texts in their slots, and anchors.
                 self.slot = _refine(_values(column["path"])[0], last[self.block])
@@ -382,7 +385,7 @@ def vectors(known: DataFrame, turn: int) -> DataFrame:
             by_host = np.array([_path_id(h, "") for h in p.hosts], dtype=np.int64)
             yield _sums(p, "page", rows, by_host, rows * 0)
             tag = p.used & ~p.text
-            yield _sums(p, "tag", p.page[tag], p.role[tag], (np.arange(len(p.seq)) - p.at[:-1][p.page])[tag])
+            yield _sums(p, "tag", p.page[tag], p.role[tag], (np.arange(len(p.seq)) - p.at[:-1][p.page])[tag], p.gap[tag] if turn == 2 else None)
             if turn == 3:
                 more = {c: _values(p.column[c])[0] for c in ("chars", "linked")}
                 flags = {c: _values(p.column[c])[0].astype(np.int64) for c in ("article", "plain")}
@@ -395,15 +398,17 @@ def vectors(known: DataFrame, turn: int) -> DataFrame:
     return known.mapInArrow(run, SUMS).groupBy(*names[:4]).agg(*[F.sum(c).alias(c) for c in names[4:]])
 
 
+#: What a class's tokens share: the vector; of tags also the gap that they are in (slot).
 VECTOR = ["host", "pages", "sum1", "sum2"]
+NESTED = [*VECTOR, "slot"]
 
 
-def classes(sums: DataFrame) -> DataFrame:
-    """Tags and texts in classes of CLASS_TOKENS tokens on CLASS_PAGES pages of a host: with the class, and depth 0 if they are once on every page."""
+def classes(sums: DataFrame, key: list[str]) -> DataFrame:
+    """Tags and texts in classes of CLASS_TOKENS tokens, equal in key, on CLASS_PAGES pages of a host: with the class, and depth 0 if they are once on every page."""
     total = sums.where("kind = 'page'").select("host", F.col("sum1").alias("f1"), F.col("sum2").alias("f2"))
     frequent = sums.where((F.col("kind").isin("tag", "text")) & (F.col("pages") >= CLASS_PAGES))
-    size = frequent.groupBy(*VECTOR).agg(F.count("*").alias("tokens"), F.min("role").alias("class")).where(F.col("tokens") >= CLASS_TOKENS)
-    return frequent.join(size.drop("tokens"), VECTOR).join(total, "host").withColumn("depth", F.when((F.col("sum1") == F.col("f1")) & (F.col("sum2") == F.col("f2")), 0).otherwise(1)).drop("f1", "f2")
+    size = frequent.groupBy(*key).agg(F.count("*").alias("tokens"), F.min("role").alias("class")).where(F.col("tokens") >= CLASS_TOKENS)
+    return frequent.join(size.drop("tokens"), key).join(total, "host").withColumn("depth", F.when((F.col("sum1") == F.col("f1")) & (F.col("sum2") == F.col("f2")), 0).otherwise(1)).drop("f1", "f2")
 
 
 def _out_of_order(keys: list[int]) -> list[int]:
@@ -426,45 +431,64 @@ def _out_of_order(keys: list[int]) -> list[int]:
     return [i for i in range(len(keys)) if i not in kept]
 
 
+def _crosses(x: list[int], y: list[int]) -> bool:
+    """Whether places x and y of two classes on a page interleave: neither is in one gap of the other."""
+    return bisect.bisect(y, x[0]) != bisect.bisect(y, x[-1]) and bisect.bisect(x, y[0]) != bisect.bisect(x, y[-1])
+
+
 def ordered(known: DataFrame, found: DataFrame, turn: int, settled: DataFrame | None = None) -> DataFrame:
-    """found without tokens of once a page that aren't in their class's order on some page, and without the classes that this leaves too small.
+    """found without tokens of once a page that aren't in their class's order on some page, without classes of tags that cross
+    one on more pages, and without the classes that this leaves too small.
 
     The order is that of the mean places. On a page out of order the fewest tokens that mend it go; settled anchors never do.
+    Texts (turn 3) are in their slots, so they are nested.
     """
-    once = found.where("times = pages").select("host", "role", "class", "place")
+    once = found.where("times = pages").select("host", "role", "class", "place", "pages")
     if settled is not None:
         once = once.join(settled.select("host", "role", F.lit(True).alias("settled")), ["host", "role"], "left")
     else:
         once = once.withColumn("settled", F.lit(False))
     once = stage(once.withColumn("settled", F.coalesce("settled", F.lit(False))), "html-order")
-    packed = once.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("role", "class", "place", "settled"))).alias("o")).select("host", *[F.col(f"o.{c}").alias(f"o_{c}") for c in ("role", "class", "place", "settled")])
+    packed = once.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("role", "class", "place", "settled", "pages"))).alias("o")).select("host", *[F.col(f"o.{c}").alias(f"o_{c}") for c in ("role", "class", "place", "settled", "pages")])
 
     def run(batches):
         for batch in _cut(batches):
             p = Pages(batch, turn)
             rows = pa.array(np.unique(np.array(p.hosts, dtype=object).astype(str), return_index=True)[1])
-            role, kind, place, fast = (_values(p.column[c].take(rows))[0] for c in ("o_role", "o_class", "o_place", "o_settled"))
+            role, kind, place, fast, pages = (_values(p.column[c].take(rows))[0] for c in ("o_role", "o_class", "o_place", "o_settled", "o_pages"))
             if not len(role):
                 continue
             order = np.argsort(role)
-            role, kind, place, fast = role[order], kind[order], place[order], fast[order].astype(bool)
+            role, kind, place, fast, pages = role[order], kind[order], place[order], fast[order].astype(bool), pages[order]
             at = np.minimum(np.searchsorted(role, p.role), len(role) - 1)
             hit = np.flatnonzero((role[at] == p.role) & p.used)
             page, token = p.page[hit], at[hit]
             group = np.lexsort((hit, kind[token], page))
-            page, token = page[group], token[group]
+            page, token, hit = page[group], token[group], hit[group]
             new = np.ones(len(group), dtype=bool)
             new[1:] = (page[1:] != page[:-1]) | (kind[token[1:]] != kind[token[:-1]])
             falls = np.zeros(len(group), dtype=bool)
             falls[1:] = ~new[1:] & (place[token[1:]] <= place[token[:-1]])
             start = np.append(np.flatnonzero(new), len(group))
-            bad = set()
+            bad, right = set(), np.ones(len(group), dtype=bool)
             for g in np.unique(np.searchsorted(start, np.flatnonzero(falls), side="right") - 1).tolist():
                 part = token[start[g] : start[g + 1]]
-                wrong = part[_out_of_order(place[part].tolist())]
-                if fast[wrong].any():
-                    wrong = part[~fast[part]]
-                bad |= {(p.hosts[page[start[g]]], int(role[t])) for t in wrong}
+                wrong = np.array(_out_of_order(place[part].tolist()))
+                if fast[part[wrong]].any():
+                    wrong = np.flatnonzero(~fast[part])
+                right[start[g] + wrong] = False
+                bad |= {(p.hosts[page[start[g]]], int(role[t])) for t in part[wrong]}
+            of = page[start[:-1]]
+            for one in np.flatnonzero(np.bincount(of) > 1).tolist() if turn < 3 and len(of) else ():
+                parts = [np.arange(start[g], start[g + 1]) for g in range(*np.searchsorted(of, [one, one + 1]))]
+                parts = [x for x in (x[right[x]] for x in parts) if len(x)]
+                taken: list[list[int]] = []
+                for x in sorted(parts, key=lambda x: (not fast[token[x]].any(), -pages[token[x[0]]], kind[token[x[0]]])):
+                    at = hit[x].tolist()
+                    if any(_crosses(at, y) for y in taken):
+                        bad |= {(p.hosts[one], int(role[t])) for t in token[x] if not fast[t]}
+                    else:
+                        taken.append(at)
             if bad:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*sorted(bad), strict=True), (pa.string(), pa.int64()), strict=True)], names=["host", "role"])
 
@@ -485,19 +509,19 @@ def deduce(pages: DataFrame, url: str, html_col: str) -> tuple[DataFrame, DataFr
         packed = parts.groupBy("host").agg(*[F.sort_array(F.collect_list(F.when(F.col("part") == x, F.col("role")))).alias(x) for x in ("first", "second")])
         return with_parts(known, "host", parts, packed, ["main"])
 
-    first = stage(anchors(ordered(known, stage(classes(vectors(known, 1)), "html-classes"), 1), "first"), "html-first")
+    first = stage(anchors(ordered(known, stage(classes(vectors(known, 1), NESTED), "html-classes"), 1), "first"), "html-first")
     refined = joined(first)
-    nested = stage(ordered(refined, stage(classes(vectors(refined, 2)), "html-classes"), 2, first), "html-nested")
+    nested = stage(ordered(refined, stage(classes(vectors(refined, 2), NESTED), "html-classes"), 2, first), "html-nested")
     second = anchors(nested, "second").join(first.select("host", "role"), ["host", "role"], "left_anti")
     settled = stage(first.unionByName(second), "html-anchors")
     refined = joined(settled)
     sums = stage(vectors(refined, 3), "html-slots")
     slots = sums.where("kind = 'slot'")
     of_slot = slots.select("host", F.col("role").alias("slot"), F.col("pages").alias("n"), F.col("chars").alias("full"))
-    texts = classes(sums).join(of_slot, ["host", "slot"], "left").where((F.col("kind") == "tag") | (F.col("pages") >= F.col("n") * CLASS_SHARE))
+    texts = classes(sums, VECTOR).join(of_slot, ["host", "slot"], "left").where((F.col("kind") == "tag") | (F.col("pages") >= F.col("n") * CLASS_SHARE))
     texts = stage(ordered(refined, stage(texts, "html-texts"), 3, settled).where("kind = 'text'"), "html-fixed")
     # In articles: texts that are all that their slots ever hold, in plain containers, if they are a small part of the articles.
-    whole = texts.where("article = chars and plain = times").join(texts.groupBy("host", "slot").agg(F.sum("chars").alias("held")), ["host", "slot"]).where("held = full")
+    whole = texts.where((F.col("article") == F.col("chars")) & (F.col("plain") == F.col("times")) & (F.col("pages") >= NOTICE_PAGES)).join(texts.groupBy("host", "slot").agg(F.sum("chars").alias("held")), ["host", "slot"]).where("held = full")
     articles = slots.groupBy("host").agg(F.sum("article").alias("articles"))
     few = whole.groupBy("host").agg(F.sum("chars").alias("notices")).join(articles, "host").where(F.col("notices") <= F.col("articles") * NOTICE_SHARE)
     menus = slots.where((F.col("pages") >= CLASS_PAGES) & (F.col("linked") >= F.col("chars") * MENU_SHARE) & (F.col("chars") > 0))
@@ -520,7 +544,7 @@ def _roles(host: str, tags: list[str], blocks: list[tuple], template: dict) -> t
     text = np.zeros(len(seq), dtype=bool)
     text[at] = True
     none = np.zeros(0, np.int64)
-    role, _, last = walk(seq, np.zeros(len(seq), np.int64), text, template.get("first", none), template.get("second", none))
+    role, _, _, last = walk(seq, np.zeros(len(seq), np.int64), text, template.get("first", none), template.get("second", none))
     slots = _refine(np.array(paths, dtype=np.int64), last[at])
     return role, at, slots, _refine(seq[at], slots)
 

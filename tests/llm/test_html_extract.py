@@ -147,3 +147,16 @@ def test_order_of_classes(spark):
 def test_paths_are_bounded():
     tags, blocks = H.parse("<div class=x>" * 2000 + "deep")
     assert len(set(tags)) == 2000 and max(map(len, tags)) <= H.PATH_CHARS and blocks[0][3] == "deep"
+
+
+def test_classes_that_cross(spark):
+    """Of two classes that interleave on some pages, one isn't nested in the other and is told apart by gaps instead."""
+    one, two, both = "<i>a</i><u>b</u>", "<b>c</b><s>d</s>", "<i>a</i><b>c</b><u>b</u><s>d</s>"
+    pages = [f"<html><body><h4>Welcome</h4>{one if i < 5 else both if i < 9 else two}<div>story {i}</div></body></html>" for i in range(11)]
+    df = spark.createDataFrame([(i, "http://a.example/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    found = {}
+    for r in H.templates(df).collect():
+        if r.kind == "tag":
+            found.setdefault(r["class"], set()).add(r.token.rpartition(">")[2])
+    assert {"i", "u"} in found.values() and {"b", "s"} not in found.values() and {"b"} in found.values()
+    assert H._crosses([1, 3], [2, 4]) and not H._crosses([1, 4], [2, 3]) and not H._crosses([2, 3], [1, 4]) and not H._crosses([1, 2], [3, 4])
